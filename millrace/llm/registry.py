@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, quality
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLE_SQL = {
+    "op2_quality": quality.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
 }
