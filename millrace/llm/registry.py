@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, quality
+from . import bpe, exact_dedup, quality, secrets
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_secrets": secrets.op8_secrets,
     "op9_bpe": bpe.op9_bpe,
 }
 
