@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, quality, secrets
+from . import bpe, exact_dedup, mixing, quality, secrets, url_filter
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_mixing": mixing.op7_mixing,
     "op8_secrets": secrets.op8_secrets,
     "op9_bpe": bpe.op9_bpe,
+    "op10_urls": url_filter.op10_urls,
 }
 
 ORACLE_SQL = {
     "op2_quality": quality.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op10_urls": url_filter.SQL,
 }
