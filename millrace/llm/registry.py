@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality, secrets, url_filter
+from . import bpe, exact_dedup, mixing, quality, secrets, simhash, url_filter
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
+    "op4_simhash": simhash.op4_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_secrets": secrets.op8_secrets,
