@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality, secrets, simhash, url_filter
+from . import bpe, exact_dedup, line_dedup, mixing, quality, secrets, simhash, url_filter
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_quality": quality.SQL,
+    "op3_line_dedup": line_dedup.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op10_urls": url_filter.SQL,
 }
