@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, mixing, quality, secrets, simhash, url_filter
+from . import bpe, exact_dedup, html_extract, license_scan, line_dedup, mixing, quality, secrets, simhash, url_filter
 
 QUERIES = {
+    "op1_licenses": license_scan.op1_licenses,
     "op2_quality": quality.op2_quality,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_html": html_extract.op6_html,
     "op7_mixing": mixing.op7_mixing,
     "op8_secrets": secrets.op8_secrets,
     "op9_bpe": bpe.op9_bpe,
