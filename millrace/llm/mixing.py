@@ -115,3 +115,12 @@ def mix(docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOC
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
+
+
+def mixed(docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, in their own columns, as often as mix takes them. Rows with the same id are taken alike."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    taken = mix(docs, share, max_epochs, seed, id_col, text_col)
+    taken = taken.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_key")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    rows = docs.withColumn("_key", key).join(staged(taken, "mix-taken"), "_key")
+    return rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
