@@ -1,4 +1,6 @@
-"""Registered queries over the supplied tables and the SQL that states their results."""
+"""All registered queries."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import customers  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
