@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import customers, layers  # noqa: F401
+from . import customers, equipment, layers, matching  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
