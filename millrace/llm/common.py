@@ -62,3 +62,12 @@ def partitions(spark: SparkSession) -> int:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as one struct column, doc: whatever their columns are called, they can't clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("doc")[c].alias(c) for c in columns])

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, staged, text_or_empty, word_list
+from .common import packed, read, staged, text_or_empty, unpacked, word_list
 
 #: The domain of a source is read off its name: a third of the sources each. Others fall under "other".
 DOMAINS = {"web": r"^src(0|[369]|1[258])$", "books": r"^src([147]|1[0369])$", "papers": r"^src([258]|1[147])$"}
@@ -113,14 +113,13 @@ def mix(docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOC
     return out.select("doc_id", "domain", "lang", "source", "n_tokens", (F.col("epochs") + F.col("extra")).cast("long").alias("copies"))
 
 
-def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents"))
-
-
 def mixed(docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, in their own columns, as often as mix takes them. Rows with the same id are taken alike."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     taken = mix(docs, share, max_epochs, seed, id_col, text_col)
-    taken = taken.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_key")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    rows = docs.withColumn("_key", key).join(staged(taken, "mix-taken"), "_key")
-    return rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = taken.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")).agg(F.max("copies").alias("copies")).filter("copies > 0")
+    rows = packed(docs).withColumn("key", F.coalesce(F.col("doc")[id_col].cast("long"), F.lit(-(1 << 63)))).join(staged(taken, "mix-taken"), "key")
+    return unpacked(rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read, staged, text_or_empty, word_list
+from .common import let, packed, read, staged, unpacked, word_list
 
 #: Character classes in the order in which they are counted; a character counts for the first that has it.
 CLASSES = (
@@ -95,13 +95,13 @@ def _js(p: Column, q: Column) -> Column:
     return both
 
 
-def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with one column _q: the base counts and both histograms."""
-    text = text_or_empty(text_col)
-    f = quality_features(text)
-    rows = docs.withColumn("_f", F.struct(*[c.alias(k) for k, c in f.items()], F.col(lang_col).cast("string").alias("lang")))
-    # the filter on a generator keeps the optimizer from computing the features once for each use
-    rows = rows.select(*docs.columns, F.explode(F.array("_f")).alias("_f"))
+def measured(rows: DataFrame, text: Column, lang: Column) -> DataFrame:
+    """rows with one column _q: the base counts and both histograms of text."""
+    columns = rows.columns
+    f = quality_features(F.coalesce(text.cast("string"), F.lit("")))
+    features = F.struct(*[c.alias(k) for k, c in f.items()], lang.cast("string").alias("lang"))
+    # a generator keeps the optimizer from computing the features once for each use
+    rows = rows.select(*columns, F.explode(F.array(features)).alias("_f"))
     c, w = F.col("_f.class_hist"), F.col("_f.by_words")
     n_words, repeat = w["n_words"].cast("long"), w["n_repeat_words"].cast("long")
     space = [k for k, _ in CLASSES].index("space")
@@ -119,7 +119,7 @@ def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         c.alias("class_hist"),
         w["word_hist"].alias("word_hist"),
     )
-    return rows.select(*docs.columns, q.alias("_q"))
+    return rows.select(*columns, q.alias("_q"))
 
 
 def references(measures: DataFrame, languages: tuple[str, ...] = tuple(COMMON)) -> DataFrame:
@@ -165,8 +165,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows give repeated rows; no rows give none. Histograms are taken in one pass over the texts and
     staged as a narrow table, from which the references and then the verdicts follow without a shuffle of rows.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    measures = staged(measured(narrow, "_text", "_lang").select("doc_id", "_q"), "quality")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).alias("doc"))
+    measures = staged(measured(narrow, F.col("doc.text"), F.col("doc.lang")).select("doc_id", "_q"), "quality")
     out = judged(measures, references(measures))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return out.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in counts], F.col("_kept").alias("kept"))
@@ -174,9 +174,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that quality_rules keeps, with their own columns."""
-    measures = measured(docs, text_col, lang_col)
+    measures = measured(packed(docs), F.col("doc")[text_col], F.col("doc")[lang_col])
     refs = staged(references(staged(measures.select("_q"), "quality")), "quality-refs")
-    return judged(measures, refs).filter("_kept").select(*docs.columns)
+    return unpacked(judged(measures, refs).filter("_kept"), docs.columns)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

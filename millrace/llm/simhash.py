@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read, small_batches, staged, text_or_empty
+from .common import packed, partitions, read, small_batches, staged, text_or_empty, unpacked
 from .components import components
 
 SHINGLE, RADIUS = 4, 4
@@ -232,11 +232,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Documents without an id cannot be told apart and all stay. Of rows with the same id one stays.
     """
     groups = staged(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "near-groups")
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
-    kept = staged(kept.groupBy("_kept_id").agg(F.count(F.lit(1)).alias("_n")), "near-kept")
-    matches = F.col(id_col).cast("long") == F.col("_kept_id")
-    out = docs.join(kept.select("_kept_id"), matches, "left_semi")
-    if not kept.filter("_n > 1").isEmpty():
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
+    kept = staged(kept.groupBy("kept_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
+    rows = packed(docs)
+    own = F.col("doc")[id_col].cast("long")
+    out = unpacked(rows.join(kept.select("kept_id"), own == F.col("kept_id"), "left_semi"), docs.columns)
+    if not kept.filter("n > 1").isEmpty():
         out = out.dropDuplicates([id_col])
     return out.unionByName(docs.filter(F.col(id_col).isNull()))
 
