@@ -75,7 +75,7 @@ def mix(docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOC
 
     Tokens are words. Of a leaf's budget, whole epochs take every document once; of the next epoch, the documents go by a hash
     of (seed, epoch, id), and those that begin before the remaining budget is used up are taken. Null lang or source is its own node "".
-    Null text has no tokens and goes with the documents around it. Rows that repeat (same id) count each.
+    Null text has no tokens. Rows that repeat (same id) count each.
     No rows give no rows.
 
     A leaf may hold a third of all rows: its hash order is cut into buckets, whole buckets are taken by
@@ -105,8 +105,8 @@ def mix(docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOC
     sums = sums.withColumn("before", F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     edge = sums.withColumn("left", F.col("rest") - F.col("before")).select(*leaf, "bucket", "left", "t")
     rows = rows.join(staged(edge, "mix-buckets"), [*leaf, "bucket"])
-    whole = rows.filter((F.col("left") >= F.col("t")) | (F.col("left") <= 0)).withColumn("extra", (F.col("left") > 0).cast("long"))
-    at_limit = rows.filter((F.col("left") < F.col("t")) & (F.col("left") > 0))
+    whole = rows.filter((F.col("left") > F.col("t")) | (F.col("left") <= 0)).withColumn("extra", (F.col("left") > 0).cast("long"))
+    at_limit = rows.filter((F.col("left") <= F.col("t")) & (F.col("left") > 0))
     order = Window.partitionBy(*leaf, "bucket").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     cut = at_limit.withColumn("extra", (F.coalesce(F.sum("n_tokens").over(order), F.lit(0)) < F.col("left")).cast("long"))
     out = whole.unionByName(cut)
@@ -123,3 +123,35 @@ def mixed(docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EP
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    def case(of: str, weights: Mapping[str, float]) -> str:
+        return f"CASE {of} {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in weights.items())} ELSE {OTHER_WEIGHT}::DOUBLE END"
+
+    def filled(nodes: str, name: str, parent: str, node: str, to: str) -> str:
+        return f"""
+{name}_l AS (SELECT *, (budget - coalesce(sum(cap) OVER u, 0)) / (sum(w) OVER p - coalesce(sum(w) OVER u, 0)) AS lv FROM {nodes}
+  WINDOW u AS (PARTITION BY {parent} ORDER BY cap / w, {node} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p AS (PARTITION BY {parent})),
+{name} AS (SELECT *, CASE WHEN lv * w >= cap THEN cap ELSE w * arg_min(lv, cap / w) FILTER (lv * w < cap) OVER (PARTITION BY {parent}) END AS {to} FROM {name}_l)"""
+
+    domain = " ".join(f"WHEN regexp_matches(coalesce(source, ''), '{p}') THEN '{k}'" for k, p in DOMAINS.items())
+    return f"""
+WITH d AS (SELECT doc_id, CASE {domain} ELSE 'other' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n_tokens FROM documents),
+leaf0 AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE * {MAX_EPOCHS} AS cap FROM d GROUP BY ALL),
+lang0 AS (SELECT domain, lang, sum(cap) AS cap FROM leaf0 GROUP BY ALL),
+dom0 AS (SELECT domain, sum(cap) AS cap, {case('domain', DOMAIN_WEIGHTS)} AS w, sum(sum(cap)) OVER () / {MAX_EPOCHS} * {BUDGET_SHARE}::DOUBLE AS budget FROM lang0 GROUP BY domain),
+{filled('dom0', 'dom', "''", 'domain', 'given')},
+lang1 AS (SELECT l.*, {case('lang', LANGUAGE_WEIGHTS)} AS w, given AS budget FROM lang0 l JOIN dom USING (domain)),
+{filled('lang1', 'lng', 'domain', 'lang', 'given')},
+leaf1 AS (SELECT l.*, 1::DOUBLE AS w, given AS budget FROM leaf0 l JOIN lng USING (domain, lang)),
+{filled('leaf1', 'lf', 'domain, lang', 'source', 'take')},
+pl AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN floor(take + 1e-6)::BIGINT // tokens ELSE 0 END AS epochs, floor(take + 1e-6)::BIGINT AS take, tokens FROM lf),
+o AS (SELECT d.*, epochs, take - epochs * tokens AS rest, sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('{SEED}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM d JOIN pl USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, epochs + (coalesce(before, 0) < rest)::BIGINT AS copies FROM o
+"""
+
+
+SQL = _sql()

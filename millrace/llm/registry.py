@@ -21,5 +21,7 @@ ORACLE_SQL = {
     "op2_quality": quality.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op7_mixing": mixing.SQL,
+    "op8_secrets": secrets.SQL,
     "op10_urls": url_filter.SQL,
 }

@@ -121,3 +121,40 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratios = train(training_samples(docs))
     out = find_secrets(docs, ratios)
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    words_, rest = BASE[0][1].split(")", 1)[0].removeprefix("((?i:"), BASE[0][1].split("))", 1)[1]
+    assign = "(" + "|".join(either(w) for w in words_.split("|")) + ")" + rest
+    patterns = [(i, assign if k == "assign" else p, g, n) for i, (k, p, g, n) in enumerate(BASE)] + [(len(BASE), CANDIDATE, 0, 0)]
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS k, {n} AS least, regexp_extract_all(t, {quoted(p)}) AS m, regexp_extract_all(t, {quoted(p)}, {g}) AS g, string_split_regex(t, {quoted(p)}) AS gap FROM t" for i, p, g, n in patterns
+    )
+    size, name = len(ALPHABET), "['assign', 'access', 'hex', 'markov'][k + 1]"
+    joined = lambda at: f"coalesce(string_agg({name} || ':' || s || ':' || e, ',' ORDER BY s, k, e) {at}, '')"
+    code = f"list_filter(list_transform(string_split({{}}, ''), lambda c: strpos('{ALPHABET}', c) - 1), lambda c: c >= 0)"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+chosen AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM t) ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id LIMIT {SAMPLE_DOCS}),
+made AS (SELECT sha256('sample:' || i) AS dg, to_base64(unhex(sha256('sample:' || i))) AS b FROM range({SAMPLE_RANDOM}) r(i)),
+w AS (SELECT unnest(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+')) AS w FROM t SEMI JOIN chosen USING (doc_id)),
+smp AS (SELECT unnest([b, upper(regexp_replace(b, '[+/=]', '', 'g')), dg]) AS s, TRUE AS rnd FROM made UNION ALL SELECT regexp_extract(w, '[A-Za-z_+/=-]{{8,}}'), FALSE FROM w),
+ch AS (SELECT rnd, {code.format('s')} AS c FROM smp WHERE s <> ''),
+pr AS (SELECT rnd, unnest(list_transform(range(1, len(c)), lambda i: c[i] * {size} + c[i + 1])) AS pair FROM ch WHERE len(c) > 1),
+ct AS (SELECT pair, count(*) FILTER (rnd) AS r, count(*) FILTER (NOT rnd) AS o FROM pr GROUP BY 1),
+cells AS (SELECT a, b, coalesce(r, 0) + 1 AS r, coalesce(o, 0) + 1 AS o FROM range({size}) x(a) CROSS JOIN range({size}) y(b) LEFT JOIN ct ON pair = a * {size} + b),
+tb AS (SELECT list(l ORDER BY a, b) AS tbl FROM (SELECT a, b, ln(r / sum(r) OVER p) - ln(o / sum(o) OVER p) AS l FROM cells WINDOW p AS (PARTITION BY a))),
+f AS ({found}),
+x AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+sp AS (SELECT doc_id, k, m[i] AS m, coalesce(list_sum(list_transform(gap[1:i], lambda y: length(y))), 0)::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0)::BIGINT AS s FROM x WHERE length(g[i]) >= least),
+sc AS (SELECT doc_id, k, s, s + length(m) AS e, {code.format('m')} AS c FROM sp),
+ok AS (SELECT doc_id, k, s, e FROM sc, tb WHERE k < {len(BASE)} OR list_sum(list_transform(range(1, len(c)), lambda i: tbl[c[i] * {size} + c[i + 1] + 1])) / (len(c) - 1) > {MIN_RATIO}),
+kept AS (SELECT * FROM ok o WHERE k < {len(BASE)} OR NOT EXISTS (SELECT 1 FROM ok b WHERE b.k < {len(BASE)} AND b.doc_id IS NOT DISTINCT FROM o.doc_id AND b.s < o.e AND o.s < b.e)),
+agg AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, {joined(f'FILTER (k < {len(BASE)})')} AS base, {joined('')} AS spans FROM kept GROUP BY 1)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN agg USING (doc_id)
+"""
+
+
+SQL = _sql()
