@@ -44,7 +44,7 @@ def layout(seed: int) -> tuple[str, list[int]]:
     r = random.Random(seed)
     labels = [1]
     word = lambda: "".join(r.choice(("an", "er", "ing", "th", "on", "ti", "re", "é", "sch", "os")) for _ in range(r.randint(1, 4)))
-    prose = lambda n: " ".join(word() + r.choice(("", "", "", "", ",", ".")) for _ in range(n)) + "."
+    prose = lambda n: " ".join(word() + r.choice(("", "", "", "", ",", ".")) for _ in range(n)) + r.choice((".", ""))
 
     def el(tag: str, body: str, label: int, attrs: str = "") -> str:
         return f"<{tag}{attrs}>\0{label}{body}</{tag}>"
@@ -58,7 +58,7 @@ def layout(seed: int) -> tuple[str, list[int]]:
     def junk() -> str:
         kind = r.randrange(9)
         if kind == 0:
-            return el(r.choice(("nav", "div")), links(0), 0, named("menu nav navigation navbar"))
+            return el(r.choice(("nav", "div")), links(0), 0, r.choice(("", named("menu nav navigation navbar"))))
         if kind == 1:
             return el(r.choice(("aside", "div")), el("h3", word(), 0) + links(0), 0, named("sidebar widget related"))
         if kind == 2:
@@ -74,7 +74,7 @@ def layout(seed: int) -> tuple[str, list[int]]:
             return el("header", el(r.choice(("h1", "p", "div")), word(), 0) + r.choice(("", links(0))), 0)
         if kind == 7:
             return el("footer", "&copy; " + prose(r.randint(3, 15)), 0)
-        return el("div", " ".join(f"<a href='#'>{word()}</a>" for _ in range(4)), 0, named("share social breadcrumb pagination"))
+        return el("div", " ".join(f"<a href='#'>{word()}</a>" for _ in range(4)), 0, r.choice(("", named("share social breadcrumb pagination"))))
 
     def article() -> str:
         body = el("h1", prose(r.randint(1, 10)), 1) if r.random() < 0.8 else ""

@@ -15,7 +15,7 @@ SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-RAW = frozenset("script style textarea title noscript template svg iframe object select".split())
+RAW = frozenset("script style textarea title noscript template svg iframe object select button".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -27,7 +27,7 @@ BAD_TOKENS = frozenset(
 )
 GROUPS = {t: i for i, names in enumerate(("article main", "section div body html", "p blockquote pre figure figcaption", "h1 h2 h3 h4 h5 h6", "ul ol dl li dd dt menu", "nav", "header", "footer", "aside dialog", "form fieldset button label", "table tbody thead tfoot tr td th")) for t in names.split()}
 N_GROUPS = 12
-FEATURES = N_GROUPS + 17
+FEATURES = N_GROUPS + 18
 
 
 class Node:
@@ -74,11 +74,11 @@ def parse(page: str) -> list[Node]:
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
             raw, at = page[at : end.start()], end.end()
-            here.controls += tag in ("select", "textarea")
+            here.controls += tag in ("select", "textarea", "button")
             continue
         if tag == "br":
             _text(here, " ", False)
-        if tag in ("input", "button"):
+        if tag == "input":
             here.controls += 1
         if tag not in BLOCK:
             if tag not in VOID and not m[3].endswith("/"):
@@ -145,7 +145,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         row[group] = 1
         siblings = len(p.children) if p else 1
         row[N_GROUPS:] = (
-            n.good, n.bad, good, bad, bad_tag, art, n.depth, n.place / siblings, siblings,
+            n.good, n.bad, good, bad, bad_tag, art, bool(bad_tag or bad or n.bad), n.depth, n.place / siblings, siblings,
             log1p(n.text), n.text / (1 + n.n_tags), n.anchor / (1 + n.text), n.text / total, n.text / (1 + (p.text if p else n.text)),
             n.paragraphs, n.controls, n.stops / (1 + n.text),
         )

@@ -58,7 +58,8 @@ def templates(rows: DataFrame) -> DataFrame:
         counts = rows.groupBy(*parent, "seg").agg(F.count(F.lit(1)).alias("n"))
         totals = counts.groupBy(*parent).agg(F.sum("n").alias("all_n"))
         kept = counts.filter(F.col("n") >= MIN_ROWS).join(totals, parent).filter(F.col("n") >= MIN_SHARE * F.col("all_n")).select(*parent, "seg", F.col("seg").alias(f"t{level}"))
-        rows = rows.join(kept, [*parent, "seg"], "left").withColumn(f"t{level}", F.coalesce(f"t{level}", F.lit("*"))).drop("seg")
+        # staged, so that both sides of the join are plain scans and the rows of a hot host can be split
+        rows = rows.join(staged(kept, "url-literals"), [*parent, "seg"], "left").withColumn(f"t{level}", F.coalesce(f"t{level}", F.lit("*"))).drop("seg")
         parent = [*parent, f"t{level}"]
     return rows.drop("segments")
 
