@@ -117,7 +117,8 @@ def mixed(docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EP
     """docs, in their own columns, as often as mix takes them. Rows with the same id are taken alike."""
     taken = mix(docs, share, max_epochs, seed, id_col, text_col)
     taken = taken.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")).agg(F.max("copies").alias("copies")).filter("copies > 0")
-    rows = packed(docs).withColumn("key", F.coalesce(F.col("doc")[id_col].cast("long"), F.lit(-(1 << 63)))).join(staged(taken, "mix-taken"), "key")
+    # as many ids as documents: merged at any size, so that small inputs show what large ones cost
+    rows = packed(docs).withColumn("key", F.coalesce(F.col("doc")[id_col].cast("long"), F.lit(-(1 << 63)))).join(staged(taken, "mix-taken").hint("merge"), "key")
     return unpacked(rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns)
 
 

@@ -236,7 +236,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = staged(kept.groupBy("kept_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
     rows = packed(docs)
     own = F.col("doc")[id_col].cast("long")
-    out = unpacked(rows.join(kept.select("kept_id"), own == F.col("kept_id"), "left_semi"), docs.columns)
+    # as many ids as documents: merged at any size, so that small inputs show what large ones cost
+    out = unpacked(rows.join(kept.select("kept_id").hint("merge"), own == F.col("kept_id"), "left_semi"), docs.columns)
     if not kept.filter("n > 1").isEmpty():
         out = out.dropDuplicates([id_col])
     return out.unionByName(docs.filter(F.col(id_col).isNull()))
