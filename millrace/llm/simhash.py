@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import packed, partitions, read, small_batches, staged, text_or_empty, unpacked
 from .components import components
+from .similar import similar_documents
 
 SHINGLE, RADIUS = 4, 4
 #: Bits of each block. Fingerprints that differ in 4 bits at most agree in 2 of 6 blocks at least: 15 tables find every link.
@@ -226,12 +227,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups_of: Callable[..., DataFrame] = similar_documents) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id, with its own columns.
 
+    groups_of(docs, id_col, text_col) says what a group is: doc_id and component_id of each document.
     Documents without an id cannot be told apart and all stay. Of rows with the same id one stays.
     """
-    groups = staged(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "near-groups")
+    groups = staged(groups_of(docs, id_col, text_col).select("doc_id", "component_id"), "near-groups")
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
     kept = staged(kept.groupBy("kept_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
     rows = packed(docs)
