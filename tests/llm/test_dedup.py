@@ -128,44 +128,85 @@ def test_components(spark):
 
 
 def _templates(rows, min_docs=3):
-    """The tree by brute force: (document, line number) of lines whose template recurs."""
-    lines = []
+    """The tree by brute force: (document, line number) of lines whose template recurs. A document is (id, text)."""
+    unit = lambda key: key[0] if key[0] is not None else key[1]
+    lines, total = [], defaultdict(int)
     for key in {(r[0], r[1] or "") for r in rows}:
         for n, line in enumerate(key[1].split("\n")):
-            t = words(re.sub(r"[^\x20\x09-\x0d]*[0-9][^\x20\x09-\x0d]*", "<*>", line))
-            if len(t) >= line_dedup.MIN_TOKENS:
-                lines.append((key, n, tuple(t)))
+            own = tuple(words(line))
+            if own:
+                lines.append((key, n, own, tuple("<*>" if re.search("[0-9]", x) else x for x in own)))
+                total[key] += len(own)
     docs, variants = defaultdict(set), defaultdict(set)
-    for key, _, t in lines:
-        docs[t].add(key)
-        variants[len(t), t[: line_dedup.DEPTH]].add(t)
+    for key, _, own, t in lines:
+        leaf = (len(t), t[: line_dedup.DEPTH])
+        docs[leaf, own].add(unit(key))
+        variants[leaf].add((own, t))
     support = defaultdict(int)
     for leaf, vs in variants.items():
-        if len(vs) > 1 and sum(len(docs[v]) for v in vs) >= min_docs:
-            for v in vs:
-                for p, token in enumerate(v):
-                    support[leaf, p, token] += len(docs[v])
+        if len(vs) > 1 and sum(len(docs[leaf, own]) for own, _ in vs) >= min_docs:
+            for own, t in vs:
+                for p, token in enumerate(t):
+                    support[leaf, p, token] += len(docs[leaf, own])
 
-    def template(t):
+    def template(own, t):
         leaf = (len(t), t[: line_dedup.DEPTH])
         fixed = tuple((p, x) for p, x in enumerate(t) if x != "<*>" and support[leaf, p, x] >= min_docs)
-        return (leaf, fixed) if len(fixed) >= max(line_dedup.MIN_CONSTANT, line_dedup.CONSTANT_SHARE * len(t)) else t
-
-    seen = defaultdict(set)
-    for key, _, t in lines:
-        seen[template(t)].add(key)
-    return {(key, n) for key, n, t in lines if len(seen[template(t)]) >= min_docs}
+        return (leaf, fixed) if len(fixed) >= max(line_dedup.MIN_CONSTANT, line_dedup.CONSTANT_SHARE * len(t)) else (leaf, own, "line")
+
+    lines = [(key, n, template(own, t), len(t)) for key, n, own, t in lines]
+    seen, has = defaultdict(set), defaultdict(list)
+    for key, n, t, size in lines:
+        seen[t].add(key)
+        has[key].append((t, size))
+    largest = defaultdict(int)
+    for key, w in total.items():
+        largest[key[0]] = max(largest[key[0]], w)
+    of_id = defaultdict(set)
+    for t, keys in seen.items():
+        if len({unit(k) for k in keys}) > 1:
+            for k in keys:
+                of_id[k[0]].add(t)
+    source = {}
+    for key in total:
+        first = defaultdict(int)
+        for t, size in has[key]:
+            ids = [k[0] for k in seen[t] if k[0] is not None]
+            if t in of_id[key[0]] and ids and (key[0] is None or key[0] > min(ids)):
+                first[min(ids)] += size
+        for c in sorted(first):
+            common = sum(size for t, size in has[key] if t in of_id[key[0]] and t in of_id[c])
+            if first[c] >= line_dedup.CANDIDATE_SHARE * total[key] and common >= line_dedup.COPY_SHARE * max(total[key], largest[c]):
+                source[key] = c
+                break
+    above = defaultdict(list)
+    for key, c in source.items():
+        if key[0] is not None:
+            above[key[0]].append(c)
+    counted = lambda key: min(above[source[key]], default=source[key]) if key in source else unit(key)
+
+    def need(n):
+        return line_dedup.LONG_DOCS if n >= line_dedup.LONG_TOKENS else min_docs * line_dedup.SHORT_FACTOR ** max(0, line_dedup.SHORT_TOKENS - n)
+
+    return {(key, n) for key, n, t, size in lines if len({counted(k) for k in seen[t]}) >= need(size) and len({unit(k) for k in seen[t]}) > 1}
 
 
 def _with_boilerplate(spark):
     df, rows = awkward(spark)
     r = random.Random(9)
-    extra = []
+    extra, passage = [], prose(random.Random(11), 60)
     for i in range(30):
         head = f"Posted by user{i} on 2024-0{i % 9 + 1}-11 at the old forum page"
         tail = "Copyright the site owners all rights reserved by " + r.choice(("ann", "bob", "cy", f"solo{chr(97 + i % 26)}x"))
-        extra.append((1000 + i, "\n".join([head, prose(r, 80, 2), tail if i % 2 else "short one", "x y"]), "en", "src1", None, None, None, None, None, None))
-    extra += [(2000 + i, prose(random.Random(5), 60, 3), "en", "src1", None, None, None, None, None, None) for i in range(6)]  # copies
+        extra.append((1000 + i, "\n".join([head, prose(r, 80, 2), tail if i % 2 else "short one", "x y", f"{i} {i + 1} {i * 7} {i} 12 {i}"]), "en", "src1", None, None, None, None, None, None))
+    base = prose(random.Random(5), 90, 9).split("\n")
+    for i in range(40):  # copies, most with a line of their own
+        lines = list(base)
+        if i % 4:
+            lines[i % 9] = prose(r, 10)
+        extra.append((2000 + i, "\n".join(lines), "en", "src1", None, None, None, None, None, None))
+    extra += [(3000 + i, prose(r, 200) + "\n" + passage, "en", "src1", None, None, None, None, None, None) for i in range(2)]
+    extra += [(4000 + i, prose(r, 40) + "\n" + passage + "\nRead more", "en", "src1", None, None, None, None, None, None) for i in range(50)]
     return df.unionByName(spark.createDataFrame(extra, df.schema)), rows + extra
 
 
@@ -177,18 +218,25 @@ def test_line_templates(spark):
         text = r.doc.text or ""
         lines = [n for n in range(len(text.split("\n"))) if ((r.doc.doc_id, text), n) in recurring]
         assert r.recurring == lines, r.doc.doc_id
-        n_words = sum(len(words(text.split("\n")[n])) for n in lines)
-        assert r.copied == (n_words > line_dedup.COPY_SHARE * len(words(text)))
-        assert r.clean == (r.doc.text if r.copied or not lines else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in lines))
+        assert r.clean == ("\n".join(x for n, x in enumerate(text.split("\n")) if n not in lines) if lines else r.doc.text)
 
 
 def test_line_templates_generalise(spark):
     df, rows = _with_boilerplate(spark)
     out = {r.doc_id: r for r in line_dedup.drop_templates(df).collect()}
+    before = {r[0]: r[1] for r in rows}
     assert "Posted by" not in out[1001].text and "Copyright" not in out[1001].text and "short one" in out[1000].text
-    assert out[2001].text == next(r[1] for r in rows if r[0] == 2001)  # copies are left to document dedup
+    assert all(out[i].text == before[i] for i in range(2000, 2040))  # a group of copies counts once
+    assert all(out[i].text == before[i].split("\n")[0] for i in (3000, 3001))  # a long passage in few documents
+    assert not any("Read more" in out[i].text or out[i].text.count("\n") for i in range(4000, 4050))  # also where it is most of the text
+    assert all(out[1000 + i].text.endswith(f"{i} {i + 1} {i * 7} {i} 12 {i}") for i in range(30))  # numbers alone are no template
     assert out[1001].n_chars == len(out[1001].text) and line_dedup.drop_templates(df).columns == df.columns
 
 
+def test_every_document_counts_without_copies(spark):
+    out = line_dedup.drop_templates(_with_boilerplate(spark)[0], copy_share=1.1).filter("doc_id = 2000").collect()
+    assert out[0].text == ""
+
+
 def test_line_templates_of_nothing(spark):
     assert line_dedup.with_templates(empty(spark)).count() == 0
