@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, text_or_empty
+from .common import read, text_or_empty
 
 #: Fixed value: the published pattern that splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,16 +27,17 @@ REMEMBERED = 150_000
 
 
 class Remembered:
-    """A bounded map from words to ids; when full, its older half goes."""
+    """A map of at most twice limit words to ids; when the newer half is full, the older one goes."""
 
-    def __init__(self):
+    def __init__(self, limit: int):
+        self.limit = limit
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.get = self.new.get
 
     def put(self, word: str, ids: bytes) -> bytes:
         if len(word) <= SHORT:
-            if len(self.new) >= REMEMBERED:
+            if len(self.new) >= self.limit:
                 self.old, self.new = self.new, {}
                 self.get = self.new.get
             self.new[word] = ids
@@ -53,7 +54,7 @@ def _printable_bytes() -> dict[str, int]:
 class Bpe:
     """Encoder and decoder over a tokenizer file with a byte-level BPE model."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         byte_of = _printable_bytes()
@@ -72,9 +73,10 @@ class Bpe:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[vocab[left] << 20 | vocab[right]] = r
             self.merged.append(vocab[left + right])
-        self.chunks, self.words = Remembered(), Remembered()
+        self.chunks, self.words = Remembered(remembered), Remembered(remembered)
         self.pieces = regex.compile(SPLIT).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
+        self.special_starts = {t[0] for t in self.special}
 
     def merge(self, word: bytes) -> list[int]:
         """ids[i] is the part that begins at boundary i, ranks[i] the rank of joining it with the next part."""
@@ -119,7 +121,7 @@ class Bpe:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         out = []
-        for part in self.at_special(text) if "<" in text else (text,):
+        for part in self.at_special(text) if any(c in text for c in self.special_starts) else (text,):
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
             elif part:
@@ -167,9 +169,8 @@ def default_vocabulary() -> str:
 def bpe_encode(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
     """docs with token_ids (array of int) and n_tokens added; null text is empty and has no tokens.
 
-    A column of docs by one of these names is replaced. Rows stay where they are: no shuffle.
+    A column of docs by one of these names is replaced. Rows stay where they are: no shuffle. Repeated rows give repeated rows, no rows none.
     """
-    small_batches(docs.sparkSession)
     path = path or default_vocabulary()
 
     @F.pandas_udf("array<int>")
@@ -181,7 +182,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text_col: str = "text")
 
 
 def bpe_decode(docs: DataFrame, path: str | None = None, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:
-    """docs with the text that the ids stand for; null ids give an empty text."""
+    """docs with the text that the ids stand for; null or no ids give an empty text, no rows none."""
     path = path or default_vocabulary()
 
     @F.pandas_udf("string")
@@ -196,9 +197,8 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     """One row per document: doc_id, n_tokens, and digests of its ids and of the text decoded from them.
 
     Both ways run in one pass, so that ids don't travel back and forth. Null text is empty, null ids stay null;
-    repeated rows give repeated rows.
+    repeated rows give repeated rows, no rows none. Long texts go piece by piece, so that a text's ids are all that is held besides it.
     """
-    small_batches(docs.sparkSession)
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, partitions, read, small_batches, staged, text_or_empty
+from .common import SPACE, partitions, read, staged, text_or_empty
 
 _RUNS = "doc_id long, part int, run long, place long, head_id long, run_size long, edge boolean, text_sha256 string"
 
@@ -58,7 +58,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Returns doc_id, keep_id, group_size, kept, text_sha256.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     norm = F.regexp_replace(text_or_empty(text_col), SPACE, " ")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"))
     rows = rows.select("doc_id", "norm", F.substring("norm", 1, 24).alias("lead"), F.xxhash64("norm").alias("h"))

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, text_or_empty
+from .common import read, text_or_empty
 from .html_nodes import GROUPS, Node, blocks, features, parse
 
 #: Bounds of the training sample: pages of the table (those whose ids have the smallest hash), and layouts made by rule.
@@ -199,8 +199,6 @@ def decode(nodes: list[Node], margins: np.ndarray) -> np.ndarray:
 
 def extract(pages: DataFrame, forest: Forest, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars. Null or empty html gives an empty text. Rows stay where they are: no shuffle."""
-    small_batches(pages.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parsed = [parse(x) for x in batch["html"]]

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, text_or_empty
+from .common import read, text_or_empty
 
 #: Short public notices by license; a license may have several.
 TEMPLATES: Mapping[str, tuple[str, ...]] = {
@@ -176,8 +176,6 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
     The templates are configuration of fixed size, and their index goes along with the task. Null or empty text has no finds.
     Rows that repeat are returned as often; rows stay where they are: no shuffle.
     """
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(templates)
         for batch in batches:

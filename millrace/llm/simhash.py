@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, partitions, read, small_batches, staged, text_or_empty, unpacked
+from .common import packed, partitions, read, staged, text_or_empty, unpacked
 from .components import components
 from .similar import similar_documents
 
@@ -46,7 +46,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": [fingerprint(t) for t in batch["text"]]})
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInPandas(run, "doc_id long, fp long")
 

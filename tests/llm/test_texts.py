@@ -77,6 +77,37 @@ def test_secrets(spark):
     assert secrets.find_secrets(empty(spark), ratios).count() == 0
 
 
+def _held_out(r):
+    """Strings like secrets and ordinary ones, made by other rules and from other words than the training sample."""
+    import base64
+    import string
+    import uuid
+
+    letters, some = string.ascii_letters + string.digits, "foo bar quux render matrix vector customer payment invoice shipping dashboard temperature velocity boundary gradient widget compile shuffle broadcast".split()
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    word = lambda: r.choice(some)
+    random_ = ["ghp_" + pick(letters, 36), pick(letters, 24), base64.b64encode(r.randbytes(32)).decode(), base64.urlsafe_b64encode(r.randbytes(24)).decode(), pick(string.ascii_uppercase + string.digits, 24), pick("0123456789ABCDEF", 32)]
+    plain = [
+        word() + "".join(word().title() for _ in range(4)), "_".join(word() for _ in range(5)), "_".join(word().upper() for _ in range(5)), f"/usr/{word()}/{word()}/{word()}/{word()}/v{r.randint(1, 20)}",
+        f"archive/{r.randint(1995, 2024)}/{r.randint(10, 12)}/{r.randint(10, 28)}/{word()}-{word()}", str(uuid.UUID(bytes=r.randbytes(16))), pick(string.digits, 24), r.choice("=-_") * r.randint(20, 60),
+    ]
+    return random_, plain
+
+
+def test_held_out_secrets(spark):
+    """Recall of 0.95 or more and false alarms of 0.02 at most, also where the documents have few words."""
+    for docs in (awkward(spark)[0], empty(spark)):
+        ratios, r = secrets.train(secrets.training_samples(docs)), random.Random(99)
+
+        def over(token):
+            c = [secrets.ALPHABET.index(x) for x in token]
+            return sum(ratios[a * len(secrets.ALPHABET) + b] for a, b in zip(c, c[1:])) / (len(c) - 1) > secrets.MIN_RATIO
+
+        samples = [_held_out(r) for _ in range(300)]
+        found, alarms = [[over(x) for s in samples for x in s[k]] for k in (0, 1)]
+        assert sum(found) / len(found) >= 0.95 and sum(alarms) / len(alarms) <= 0.02, (sum(found) / len(found), sum(alarms) / len(alarms))
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     own, lib = bpe.load(bpe.default_vocabulary()), tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
@@ -89,13 +120,11 @@ def test_bpe_equals_the_library(spark):
         assert own.decode(own.encode(t)) == lib.decode(want, skip_special_tokens=False)
 
 
-def test_bpe_remembers_within_bounds(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 8)
-    small, r = bpe.Bpe(bpe.default_vocabulary()), random.Random(1)
+def test_bpe_remembers_within_bounds():
+    small, r = bpe.Bpe(bpe.default_vocabulary(), remembered=8), random.Random(1)
     texts = [prose(r, 60) for _ in range(20)]
-    monkeypatch.undo()
     assert [small.encode(t) for t in texts] == [bpe.load(bpe.default_vocabulary()).encode(t) for t in texts]
-    assert len(small.words.new) <= 8 and len(small.words.old) <= 8
+    assert all(len(m) <= 8 for kept in (small.words, small.chunks) for m in (kept.new, kept.old))
 
 
 def test_bpe_columns(spark):
