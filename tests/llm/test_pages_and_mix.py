@@ -78,18 +78,63 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def test_url_templates(spark):
-    """Ids become wildcards; a host's bad branch goes and its good one stays."""
-    rows = [(i, f"http://casino.example.dev/win/{i}", None, None, None, None) for i in range(40)] + [(100 + i, f"http://shop.example.dev/item/{i}", None, None, None, None) for i in range(40)]
-    out = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, PAGES)).collect()}
-    assert all(out[i] == "block" for i in range(40)) and all(out[100 + i] == "allow" for i in range(40))
-
-
-def test_merge_keeps_different_branches_apart(spark):
-    rows = [("h", f"/{'bad' if i % 2 else 'good'}/{i}", i % 2) for i in range(80)]
-    t = url_filter.templates(spark.createDataFrame(rows, "host string, path string, label int"))
-    assert {(r.t1, r.t2) for r in t.collect()} == {("bad", "*"), ("good", "*")}
-    assert [(r.t1, r.t2) for r in url_filter.rejected_templates(t).collect()] == [("bad", "*")]
+def _plain_verdicts(rows):
+    """The tree by brute force: purity of each (host, path) from rows (host, path, label)."""
+    import math
+
+    levels = min(url_filter.LEVELS, max(len([x for x in p.split("/") if x]) for _, p, _ in rows))
+    paths = []
+    for host, path, _ in rows:
+        segs = [x for x in path.split("/") if x]
+        segs = segs[: url_filter.LEVELS - 1] + ["/".join(segs[url_filter.LEVELS - 1 :])] if len(segs) >= url_filter.LEVELS else segs
+        paths.append(((host,), segs + [""] * (levels - len(segs))))
+    for i in range(levels):
+        n = defaultdict(int)
+        for t, segs in paths:
+            n[t, segs[i]] += 1
+        paths = [(t + (segs[i] if not segs[i] or n[t, segs[i]] >= url_filter.MIN_ROWS else "*",), segs) for t, segs in paths]
+    count = defaultdict(lambda: [0, 0])
+    for (t, _), (_, _, label) in zip(paths, rows):
+        for k in range(len(t) + 1):
+            count[t[:k]][0] += label is not None
+            count[t[:k]][1] += label or 0
+    k, purity = url_filter.PRIOR, {}
+    share = lambda key: count[key][1] / count[key][0] if count[key][0] else 0.0
+    for key in sorted(count, key=len):
+        if len(key) == 1:
+            purity[key] = (count[key][1] + k * share(())) / (count[key][0] + k)
+        elif key:
+            p, kin = share(key[:-1]), [x for x in count if len(x) == len(key) and x[:-1] == key[:-1]]
+
+            def side(x, p=p):
+                n, bad = count[x]
+                s, e = (bad + k * p) / (n + k), math.sqrt(p * (1 - p) / (n + k))
+                return 0 if e == 0 or abs(s - p) < url_filter.MERGE_Z * e else math.copysign(1, s - p)
+
+            like = [x for x in kin if side(x) == side(key)]
+            purity[key] = purity[key[:-1]] if side(key) == 0 else (sum(count[x][1] for x in like) + k * p) / (sum(count[x][0] for x in like) + k)
+    return ["block" if purity[t] >= url_filter.MIN_PURITY else "allow" for t, _ in paths]
+
+
+def test_url_tree(spark):
+    """Against brute force, without any listed term: branches at every depth, small alike siblings, long paths, null labels, repeated rows."""
+    import random
+
+    r, rows = random.Random(3), []
+    for i in range(1500):
+        host = r.choice(("big.dev", "big.dev", "small.dev", f"h{i % 40}.dev"))
+        branch = r.choice(("shop/item", "shop/promo", "a/b/c/good", "a/b/c/bad", "blog", "x/y/z/1/2/3/4/5/6/7/8/9"))
+        bad = branch in ("shop/promo", "a/b/c/bad") and r.random() < 0.97 or r.random() < 0.1
+        rows.append((host, f"/{branch}/{i}", None if r.random() < 0.4 else int(bad)))
+    rows += [("pills.dev", f"/{i}/{i}", 1) for i in range(12)] + [("pills.dev", "/new/1", None), ("", "", None), ("one.dev", "", 1), *rows[:9]]
+    df = spark.createDataFrame([(i, h and f"http://{h}{p}", y) for i, (h, p, y) in enumerate(rows)], "page_id long, url string, label int")
+    got = [x.verdict for x in url_filter.filter_urls(df, rules=(), bad_terms=(), label_col="label").orderBy("page_id").collect()]
+    assert got == _plain_verdicts(rows)
+    by = defaultdict(set)
+    for (host, path, _), v in zip(rows, got):
+        by[host, path.rsplit("/", 1)[0]].add(v)
+    assert by["big.dev", "/a/b/c/bad"] == by["big.dev", "/shop/promo"] == by["pills.dev", "/new"] == {"block"}
+    assert by["big.dev", "/a/b/c/good"] == by["big.dev", "/blog"] == by["small.dev", "/shop/item"] == by["one.dev", ""] == {"allow"}
 
 
 def _water(budget, nodes):
