@@ -158,8 +158,8 @@ def judged(measures: DataFrame, refs: DataFrame) -> DataFrame:
     return rows.withColumn("_kept", ~F.col("_q.base_failed") & ~strays())
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Base counts and verdict per document.
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", refs: DataFrame | None = None) -> DataFrame:
+    """Base counts and verdict per document, by references of the caller's (as references() makes them from documents of known quality) or of these documents' own.
 
     Null text counts as empty: no words, base_failed. Null or unknown lang: only the base rules judge.
     Repeated rows give repeated rows; no rows give none. Histograms are taken in one pass over the texts and
@@ -167,15 +167,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).alias("doc"))
     measures = staged(measured(narrow, F.col("doc.text"), F.col("doc.lang")).select("doc_id", "_q"), "quality")
-    out = judged(measures, references(measures))
+    out = judged(measures, references(measures) if refs is None else refs)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return out.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in counts], F.col("_kept").alias("kept"))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that quality_rules keeps, with their own columns."""
-    measures = measured(packed(docs), F.col("doc")[text_col], F.col("doc")[lang_col])
-    refs = staged(references(staged(measures.select("_q"), "quality")), "quality-refs")
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: DataFrame | None = None) -> DataFrame:
+    """The documents that quality_rules keeps, with their own columns. Nulls, empty texts, repeated rows and empty tables are as there.
+
+    Documents and measures are staged together, so that every text is measured once and none is shuffled.
+    """
+    measures = staged(measured(packed(docs), F.col("doc")[text_col], F.col("doc")[lang_col]), "quality")
+    refs = staged(references(measures), "quality-refs") if refs is None else refs
     return unpacked(judged(measures, refs).filter("_kept"), docs.columns)
 
 

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import packed, partitions, read, staged, text_or_empty, unpacked
@@ -230,7 +230,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     """Of each group of near duplicates the document with the smallest id, with its own columns.
 
     groups_of(docs, id_col, text_col) says what a group is: doc_id and component_id of each document.
-    Documents without an id cannot be told apart and all stay. Of rows with the same id one stays.
+    Documents without an id cannot be told apart and all stay. Of rows with the same id one stays, the first in order of all columns.
+    Null and empty texts are as groups_of has them; no rows give no rows.
     """
     groups = staged(groups_of(docs, id_col, text_col).select("doc_id", "component_id"), "near-groups")
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
@@ -240,7 +241,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     # as many ids as documents: merged at any size, so that small inputs show what large ones cost
     out = unpacked(rows.join(kept.select("kept_id").hint("merge"), own == F.col("kept_id"), "left_semi"), docs.columns)
     if not kept.filter("n > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
+        first = Window.partitionBy(id_col).orderBy(F.to_json(F.struct(*docs.columns)))
+        out = out.withColumn("_place", F.row_number().over(first)).filter("_place = 1").select(*docs.columns)
     return out.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

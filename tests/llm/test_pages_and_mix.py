@@ -161,7 +161,7 @@ def _mix(rows, share, epochs, seed):
     for r in rows:
         source, lang = r[3] or "", r[2] or ""
         domain = next((k for k, p in mixing.DOMAINS.items() if re.search(p, source)), "other")
-        docs.append(((domain, lang, source), r[0], len(words(r[1]))))
+        docs.append(((domain, lang, source), hashlib.md5((r[1] or "").encode()).hexdigest() if r[0] is None else r[0], len(words(r[1]))))
     tokens = defaultdict(int)
     for leaf, _, n in docs:
         tokens[leaf] += n
@@ -183,10 +183,10 @@ def _mix(rows, share, epochs, seed):
     for leaf, n in tokens.items():
         whole = take[leaf] // n if n else 0
         rest, own = take[leaf] - whole * n, [(i, t) for l, i, t in docs if l == leaf]
-        order = sorted(own, key=lambda x: (hashlib.md5(f"{seed}:{whole}:{'' if x[0] is None else x[0]}".encode()).hexdigest(), -1 if x[0] is None else x[0], x[1]))
+        order = sorted(own, key=lambda x: (hashlib.md5(f"{seed}:{whole}:{x[0]}".encode()).hexdigest(), str(x[0]), x[1]))
         before = 0
         for i, t in order:
-            out.append((str(i), t, whole + (before < rest)))
+            out.append((str(None if isinstance(i, str) else i), t, whole + (before < rest)))
             before += t
     return sorted(out)
 
@@ -204,9 +204,9 @@ def test_mix(spark, monkeypatch, share, epochs, bucket):
 def test_mixed_documents(spark):
     df, rows = awkward(spark)
     copies = defaultdict(int)
-    for r in mixing.mix(df).collect():
+    for r in mixing.mix(df.filter("doc_id IS NOT NULL")).collect():
         copies[r.doc_id] = max(copies[r.doc_id], r.copies)
-    out = mixing.mixed(df).collect()
+    out = mixing.mixed(df.filter("doc_id IS NOT NULL")).collect()
     got = defaultdict(int)
     for r in out:
         got[r.doc_id] += 1
@@ -214,4 +214,13 @@ def test_mixed_documents(spark):
     for r in rows:
         times[r[0]] += 1
     assert dict(got) == {k: v * times[k] for k, v in copies.items() if v} and mixing.mixed(df).columns == df.columns
+    nameless = df.filter("doc_id IS NULL")
+    assert mixing.mixed(nameless, 1.0).count() == sum(r.copies for r in mixing.mix(nameless, 1.0).collect()) > 0
     assert mixing.mix(empty(spark)).count() == 0
+
+
+def test_mix_by_given_weights(spark):
+    rows = [(i, "a b c d", "en", "wiki" if i % 2 else "news") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mixed(df, 0.5, 1, domains={"all": "wiki|news"}, domain_weights={"all": 1.0}, language_weights={"en": 1.0}, source_weights={"wiki": 3.0})
+    assert {r["source"]: r["count"] for r in out.groupBy("source").count().collect()} == {"wiki": 75, "news": 25}
