@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.normalize import ratio
 
 
-def amount_statistics(txns: DataFrame, exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """Mean, sample deviation (0 for one row) and 99th percentile of each product; approximate percentiles at scale."""
+def amount_statistics(txns: DataFrame, exact: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Mean, sample deviation (0 for one row) and 99th percentile of each product.
+
+    The percentile is approximate, in bounded memory; an exact one holds the distinct amounts of a product in one task.
+    """
     p99 = F.percentile("amount", F.lit(0.99)) if exact else F.percentile_approx("amount", 0.99, accuracy)
     return txns.groupBy("product").agg(F.avg("amount").alias("mean"), F.coalesce(F.stddev_samp("amount"), F.lit(0.0)).alias("std"), p99.alias("p99"))
 
 
 def transaction_anomalies(txns: DataFrame, stats: DataFrame, z_min: float = 3.0) -> DataFrame:
-    """Label first, then above the product's p99, then z. stats has a row for each product."""
-    rows = txns.join(stats, "product")
+    """Label first, then above the product's p99, then z. stats has a row for each product; a product without one has labels only."""
+    rows = txns.join(stats, "product", "left")
     z = F.when(F.col("std") > 0, (F.col("amount") - F.col("mean")) / F.col("std")).otherwise(0.0)
     kind = F.when(F.col("label") == 1, "fraud_label").when(F.col("amount") > F.col("p99"), "above_product_p99").when(z >= z_min, "amount_z_score")
     rows = rows.select("txn_id", "product", "amount", F.round(z, 4).alias("z"), kind.alias("anomaly_type")).filter("anomaly_type IS NOT NULL")

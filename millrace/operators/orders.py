@@ -55,11 +55,10 @@ def versions(changes: DataFrame, key: str, ts: str, tracked: Sequence[str], seq:
 
 
 def as_of(facts: DataFrame, key: str, ts: str, dimension: DataFrame) -> DataFrame:
-    """Facts with the version valid at their time: equi join on the key, then the interval."""
+    """Facts with the version valid at their time, or nulls if there is none: an equi join on the key, with the interval as a further condition."""
     at = F.col(ts)
-    rows = facts.join(dimension, key, "left")
     valid = (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (at < F.col("valid_to")))
-    return rows.filter(valid)
+    return facts.join(dimension.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & valid, "left").drop("_key")
 
 
 def daily_snapshot(movements: DataFrame, key: str, day: str, quantity: str, base: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +11,8 @@ from .quality import latest_by
 
 HEADING = r"^#{1,4}\s+(.*)$"
 CUT = 6000
-BLOCK = 2048
+#: Queries and vectors of a cell.
+BLOCK, CHUNK = 2048, 16384
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -65,35 +64,34 @@ def with_fallback(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, key:
     return ranked.select("query_id", key, "score", "rank").unionByName(rest.withColumn("rank", F.row_number().over(w)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3, block: int = BLOCK) -> DataFrame:
+def _unit(vectors: pd.Series) -> np.ndarray:
+    v = np.array(vectors.tolist(), dtype=np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(query_id, key, similarity, rank): the k rows of largest cosine for each query, exactly.
 
-    Queries go out in blocks of fixed size; each task keeps k candidates a query, so that the final ranking sees k rows
-    for each query and task. queries: query_id and the vector.
+    Queries are dealt into blocks of about so many, vectors into chunks; each pair of a block and a chunk is a cell, which keeps k rows
+    a query, so that the final ranking sees k rows for each query and chunk. Nothing goes through the driver but two counts.
+    queries: query_id and the vector. Null vectors take no part.
     """
-    out = None
-    ids = [r["query_id"] for r in queries.select("query_id").orderBy("query_id").collect()]  # ids of the stated query set only
-    for at in range(0, max(1, len(ids)), block):
-        part = queries.filter(F.col("query_id").isin(ids[at : at + block])) if len(ids) > block else queries
-        rows = part.select("query_id", F.col(vector).cast("array<double>").alias("v")).collect()
-        q_ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        q = np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
-
-        def score(batches: Iterator[pd.DataFrame], q=q, q_ids=q_ids) -> Iterator[pd.DataFrame]:
-            best_s, best_i = np.full((len(q), 0), -2.0), np.zeros((len(q), 0), dtype=np.int64)
-            for b in batches:
-                v = np.array(b["v"].tolist(), dtype=np.float64)
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
-                s = np.hstack([best_s, q @ v.T])
-                i = np.hstack([best_i, np.broadcast_to(b["k"].to_numpy(dtype=np.int64), (len(q), len(v)))])
-                order = np.lexsort((i, -np.round(s, 12)), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            n = best_s.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(q_ids, n), "k": best_i.ravel(), "similarity": best_s.ravel()})
-
-        found = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL").mapInPandas(score, "query_id long, k long, similarity double")
-        out = found if out is None else out.unionByName(found)
+    rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    blocks, chunks = max(1, -(-asked.count() // block)), max(1, -(-rows.count() // chunk))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("k"), F.lit(chunks)).cast("int")).withColumn("block", every(blocks))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("chunk", every(chunks))
+
+    def score(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": [], "k": [], "similarity": []}).astype({"query_id": "int64", "k": "int64"})
+        s = _unit(q["v"]) @ _unit(v["v"]).T
+        ids = np.broadcast_to(v["k"].to_numpy(dtype=np.int64), s.shape)
+        order = np.lexsort((ids, -np.round(s, 12)), axis=1)[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(dtype=np.int64), order.shape[1]), "k": np.take_along_axis(ids, order, 1).ravel(), "similarity": np.take_along_axis(s, order, 1).ravel()})
+
+    out = asked.groupBy("block", "chunk").cogroup(rows.groupBy("block", "chunk")).applyInPandas(score, "query_id long, k long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "k")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnRenamed("k", key)
 

@@ -8,6 +8,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.layers import work_folder
+
 LABELS = ("Value Watch", "Growth", "Priority")
 
 
@@ -23,14 +25,19 @@ def fixed_kmeans(features: DataFrame, metrics: list[str], by: str, key: str, k:
     if not n:
         return features.withColumn("cluster", F.lit(0))
     step = max(1, n // k)
-    # the seeds' places in the order are found from counts by value, so that no single task numbers all rows
+    # the rows are dealt in ranges of (by, key) once; counts by range say where a seed's place lies, so that no task orders all rows
+    path = work_folder(features.sparkSession, "seeds")
+    scaled.repartitionByRange(by, key).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = features.sparkSession.read.parquet(path)
+    sizes = {r["_range"]: r["n"] for r in dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each range
     seeds = []
     for i in range(k):
         at = min(n - 1, i * step)
-        value = scaled.select(F.percentile(by, F.lit(at / max(1, n - 1)))).first()[0]
-        below = scaled.filter(F.col(by) < value - 1e-9).count()
-        row = scaled.filter(F.abs(F.col(by) - F.lit(value)) <= 1e-9).orderBy(key).limit(at - below + 1).orderBy(F.desc(key)).first()
-        row = row or scaled.filter(F.col(by) >= value).orderBy(by, key).first()
+        for part in sorted(sizes):
+            if at < sizes[part]:
+                break
+            at -= sizes[part]
+        row = dealt.filter(F.col("_range") == part).orderBy(by, key).offset(at).limit(1).first()
         seeds.append([float(row[f"_{m}"]) for m in metrics])
 
     def nearest(centres: list[list[float]]):

@@ -159,17 +159,19 @@ def a20(spark, d):
     return means(spark, d).withColumn("mean", F.round("mean", 4))
 
 
-@query("p12_unpivot_metrics", f"WITH b AS ({BANDED}) SELECT feature, mean > 0 AS positive FROM ({MEANS})")
+@query("p12_unpivot_metrics", f"WITH b AS ({BANDED}) SELECT feature, round(mean, 3) AS mean FROM ({MEANS})")
 def p12(spark, d):
-    return means(spark, d).select("feature", (F.col("mean") > 0).alias("positive"))
+    return means(spark, d).select("feature", F.round("mean", 3).alias("mean"))
 
 
-@query(
-    "d05_feature_drift",
+DRIFT = (
     f"WITH b AS ({BANDED}), m AS ({MEANS}), k(feature, baseline) AS (VALUES {', '.join(repr(x) for x in BASELINES)}) "
     "SELECT feature, round(mean, 4) AS mean, baseline::DOUBLE AS baseline, round(abs(mean - baseline) / baseline, 4) AS drift, "
-    "CASE WHEN abs(mean - baseline) / baseline >= 0.5 THEN 'high' WHEN abs(mean - baseline) / baseline >= 0.25 THEN 'medium' ELSE 'low' END AS severity FROM m JOIN k USING (feature)",
+    "CASE WHEN abs(mean - baseline) / baseline >= 0.5 THEN 'high' WHEN abs(mean - baseline) / baseline >= 0.25 THEN 'medium' ELSE 'low' END AS severity FROM m JOIN k USING (feature)"
 )
+
+
+@query("d05_feature_drift", DRIFT)
 def d05(spark, d):
     base = spark.createDataFrame(list(BASELINES), "feature string, baseline double")
     return fe.drift(means(spark, d), base).withColumn("mean", F.round("mean", 4)).withColumn("drift", F.round("drift", 4))

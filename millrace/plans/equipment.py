@@ -70,14 +70,16 @@ def oee(spark: SparkSession, d: str) -> DataFrame:
     return eq.daily_effectiveness(feeds(spark, d), machines(spark, d), digits=None)
 
 
-@query("a05_daily_effectiveness", f"{OEE} SELECT site_code, shift_date, machine_number, availability, performance, produced_qty, downtime_minutes FROM oee")
+@query("a05_daily_effectiveness", f"{OEE} SELECT site_code, shift_date, machine_number, availability, performance, round(quality + 1e-9, 4) AS quality, round(oee + 1e-9, 4) AS oee, produced_qty, downtime_minutes FROM oee")
 def a05(spark, d):
-    return oee(spark, d).select("site_code", "shift_date", "machine_number", "availability", "performance", "produced_qty", "downtime_minutes")
+    """Sums of quantities with fractions depend on their order in the last bits, and exact ties would round apart: both are rounded a little above."""
+    above = lambda c: F.round(F.col(c) + 1e-9, 4).alias(c)
+    return oee(spark, d).select("site_code", "shift_date", "machine_number", "availability", "performance", above("quality"), above("oee"), "produced_qty", "downtime_minutes")
 
 
-@query("d14_effectiveness_parts", f"{OEE} SELECT machine_number, count(*) AS days, max(availability) AS best_availability, max(performance) AS best_performance, max(quality) AS best_quality FROM oee GROUP BY 1")
+@query("d14_effectiveness_parts", f"{OEE} SELECT machine_number, count(*) AS days, max(availability) AS best_availability, max(performance) AS best_performance, max(quality) AS best_quality, round(avg(availability), 6) AS mean_availability, round(avg(quality), 6) AS mean_quality FROM oee GROUP BY 1")
 def d14(spark, d):
-    return oee(spark, d).groupBy("machine_number").agg(F.count(F.lit(1)).alias("days"), F.max("availability").alias("best_availability"), F.max("performance").alias("best_performance"), F.max("quality").alias("best_quality"))
+    return oee(spark, d).groupBy("machine_number").agg(F.count(F.lit(1)).alias("days"), F.max("availability").alias("best_availability"), F.max("performance").alias("best_performance"), F.max("quality").alias("best_quality"), F.round(F.avg("availability"), 6).alias("mean_availability"), F.round(F.avg("quality"), 6).alias("mean_quality"))
 
 
 @query("a06_downtime_by_reason", f"SELECT site_code, shift_date, downtime_reason, sum(downtime_minutes) AS minutes FROM ({EVENTS}) GROUP BY ALL")
@@ -128,3 +130,14 @@ def w01(spark, d):
 def n03(spark, d):
     """At half a deviation, as the supplied data have few outliers."""
     return eq.alerts(eq.latest_against_baseline(oee(spark, d)), -0.5, 0.5).select("machine_number", "shift_date", "metric", "severity")
+
+
+ISSUE = f"SELECT e.site_code, CASE WHEN shift_date IS NULL THEN 'missing_shift_date' WHEN m.machine_number IS NULL THEN 'unknown_machine' WHEN produced_qty < 0 OR good_qty < 0 THEN 'negative_quantity' WHEN good_qty > produced_qty THEN 'invalid_good_quantity' END AS issue_type FROM ({EVENTS}) e LEFT JOIN ({MACHINES}) m ON e.site_code = m.site_code AND e.machine_number = m.machine_number"
+
+
+@query("v_equipment_issues", f"SELECT site_code, issue_type, count(*) AS n FROM ({ISSUE}) WHERE issue_type IS NOT NULL GROUP BY ALL")
+def v_equipment_issues(spark, d):
+    """Rejected machine events by site and first failing rule."""
+    m = machines(spark, d).select("site_code", "machine_number").withColumn("known", F.lit(True))
+    rows = feeds(spark, d).join(m, ["site_code", "machine_number"], "left").withColumn("issue_type", dq.first_failing(eq.event_issue(F.coalesce("known", F.lit(False)))))
+    return rows.filter("issue_type IS NOT NULL").groupBy("site_code", "issue_type").agg(F.count(F.lit(1)).alias("n"))

@@ -92,16 +92,16 @@ STATS = "SELECT o_orderpriority AS product, avg(o_totalprice) AS mean, coalesce(
 
 @query("a18_amount_statistics", f"SELECT product, round(mean, 2) AS mean, round(std, 2) AS std, round(p99, 2) AS p99 FROM ({STATS})")
 def a18(spark, d):
-    return an.amount_statistics(transactions(spark, d)).select("product", *[F.round(c, 2).alias(c) for c in ("mean", "std", "p99")])
+    return an.amount_statistics(transactions(spark, d), exact=True).select("product", *[F.round(c, 2).alias(c) for c in ("mean", "std", "p99")])
 
 
-ANOMALY = f"SELECT o_orderkey AS txn_id, o_orderpriority AS product, CASE WHEN o_orderkey % 997 = 0 THEN 'fraud_label' WHEN o_totalprice > p99 THEN 'above_product_p99' WHEN std > 0 AND (o_totalprice - mean) / std >= 3 THEN 'amount_z_score' END AS anomaly_type FROM orders JOIN ({STATS}) ON o_orderpriority = product"
+ANOMALY = f"SELECT o_orderkey AS txn_id, o_orderpriority AS product, CASE WHEN o_orderkey % 997 = 0 THEN 'fraud_label' WHEN o_totalprice > p99 THEN 'above_product_p99' WHEN std > 0 AND (o_totalprice - mean) / std >= 3 THEN 'amount_z_score' END AS anomaly_type FROM orders LEFT JOIN ({STATS}) ON o_orderpriority = product"
 
 
 @query("n01_transaction_anomalies", f"SELECT *, sha256('txn|' || txn_id || '|' || anomaly_type) AS anomaly_id FROM ({ANOMALY}) WHERE anomaly_type IS NOT NULL")
 def n01(spark, d):
     t = labelled_transactions(spark, d)
-    return an.transaction_anomalies(t, an.amount_statistics(t)).select("txn_id", "product", "anomaly_type", "anomaly_id")
+    return an.transaction_anomalies(t, an.amount_statistics(t, exact=True)).select("txn_id", "product", "anomaly_type", "anomaly_id")
 
 
 @query("j09_group_statistics", f"SELECT product, anomaly_type, count(*) AS n FROM ({ANOMALY}) WHERE anomaly_type IS NOT NULL GROUP BY ALL")
@@ -148,11 +148,14 @@ def w02(spark, d):
     return m03(spark, d).groupBy("segment").agg(F.count(F.lit(1)).alias("customers"))
 
 
-@query("m04_scaled_vectors")
+SCALED = ("tx_count_30d", "monetary_30d", "velocity_7d")
+
+
+@query("m04_scaled_vectors", f"WITH f AS ({FEATURES}) SELECT customer, " + ", ".join(f"round({m} / (SELECT max(abs({m})) FROM f)::DOUBLE, 6) AS {m}" for m in SCALED) + " FROM f")
 def m04(spark, d):
     from pyspark.ml.feature import MaxAbsScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = VectorAssembler(inputCols=["tx_count_30d", "monetary_30d", "velocity_7d"], outputCol="raw").transform(customer_base(spark, d))
+    rows = VectorAssembler(inputCols=list(SCALED), outputCol="raw").transform(customer_base(spark, d))
     out = MaxAbsScaler(inputCol="raw", outputCol="scaled").fit(rows).transform(rows)
-    return out.select("customer", F.transform(vector_to_array("scaled"), lambda x: F.round(x, 6)).alias("scaled"))
+    return out.withColumn("scaled", vector_to_array("scaled")).select("customer", *[F.round(F.col("scaled")[i], 6).alias(m) for i, m in enumerate(SCALED)])

@@ -164,7 +164,7 @@ def x02(spark, d):
     return dq.latest_by(owner_changes(spark, d), ["o_custkey"], [F.desc("ts"), F.desc("o_orderkey")]).select("o_custkey", "o_orderpriority")
 
 
-@query("j13_as_of_join", f"SELECT o.o_orderkey, v.o_orderpriority AS priority_then FROM orders o JOIN ({VERSIONS}) v ON o.o_custkey = v.o_custkey AND v.valid_from <= o.o_orderdate AND (v.valid_to IS NULL OR o.o_orderdate < v.valid_to)")
+@query("j13_as_of_join", f"SELECT o.o_orderkey, v.o_orderpriority AS priority_then FROM orders o LEFT JOIN ({VERSIONS}) v ON o.o_custkey = v.o_custkey AND v.valid_from <= o.o_orderdate AND (v.valid_to IS NULL OR o.o_orderdate < v.valid_to)")
 def j13(spark, d):
     facts = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("ts"))
     return od.as_of(facts, "o_custkey", "ts", customer_versions(spark, d)).select("o_orderkey", F.col("o_orderpriority").alias("priority_then"))

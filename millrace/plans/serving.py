@@ -10,7 +10,7 @@ from ..operators import quality as dq
 from ..operators import retrieval as rt
 from .base import query, table
 from .contracts import everything
-from .customers import BANDED, FEATURES, LAPSE, PROPENSITY_SCALE, customer_base, eligible, means, policies, ELIGIBLE
+from .customers import BANDED, DRIFT, FEATURES, d05, LAPSE, PROPENSITY_SCALE, customer_base, eligible, policies, ELIGIBLE
 from .layers import REJECTS, checked_orders
 
 SEGMENTS = f"SELECT c_mktsegment AS segment, count(*) AS customers, round(avg(monetary_30d), 2) AS mean_monetary FROM ({FEATURES}) JOIN customer ON customer = c_custkey GROUP BY 1"
@@ -70,9 +70,11 @@ def v_issues(spark, d):
     return rows.groupBy("issue_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
 
 
-@query("v_drift")
+@query("v_drift", f"SELECT * FROM ({DRIFT}) ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, feature")
 def v_drift(spark, d):
-    return means(spark, d)
+    """Features with their baseline, drift and severity, the worst first."""
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    return d05(spark, d).orderBy(rank, "feature")
 
 
 @query("v_check_results")
@@ -169,9 +171,10 @@ qt AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS token FROM
 sc AS (SELECT query_id, chunk, sum(4 + contains(h, token)::INT) + least(length(any_value(body)) / 1200, 3.0) AS score FROM ct JOIN qt USING (token) GROUP BY ALL)"""
 
 
-@query("r04_lexical_scores", f"{SCORES} SELECT query_id, count(*) AS chunks, max(score)::INT AS best FROM sc GROUP BY 1")
+@query("r04_lexical_scores", f"{SCORES} SELECT query_id, count(*) AS chunks, max(score)::INT AS best, round(sum(score) * 1200)::BIGINT AS total FROM sc GROUP BY 1")
 def r04(spark, d):
-    return rt.scores(chunks(spark, d), questions(spark, d), "chunk").groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.max("score"), 0).cast("int").alias("best"))
+    """Scores are multiples of 1 / 1200: their total is given in that unit."""
+    return rt.scores(chunks(spark, d), questions(spark, d), "chunk").groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.max("score"), 0).cast("int").alias("best"), F.round(F.sum("score") * 1200).cast("long").alias("total"))
 
 
 @query("r05_top_chunks", f"{SCORES} SELECT query_id, chunk, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM sc QUALIFY rank <= 5")

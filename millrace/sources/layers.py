@@ -51,13 +51,16 @@ def with_bronze_metadata(df: DataFrame, source: str, ingest_ts: Column | None =
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
-    """Last writer wins by sequence; of equal sequences, the new row. One shuffle by key."""
+    """Last writer wins by sequence; of equal sequences, the new row, and of several new ones the last in order of all columns. One shuffle by key."""
     rows = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    order = Window.partitionBy(*keys).orderBy(F.desc(sequence), F.desc("_new"))
+    order = Window.partitionBy(*keys).orderBy(F.desc(sequence), F.desc("_new"), F.desc(F.to_json(F.struct(*existing.columns))))
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_new")
 
 
-def insert_if_absent(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+def insert_if_absent(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """existing, and the rows of new whose keys it lacks: of several with the same keys the first by order (by all columns if none is given)."""
+    first = Window.partitionBy(*keys).orderBy(*([order] if order else []), F.to_json(F.struct(*existing.columns)))
+    new = new.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     return existing.unionByName(new.join(existing, list(keys), "left_anti").select(*existing.columns))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import normalize as nz
 from millrace.functions import scores
+from millrace.operators import anomaly as an
 from millrace.operators import contract as ct
 from millrace.operators import equipment as eq
 from millrace.operators import features as fe
@@ -225,7 +226,7 @@ def test_versions_and_as_of(spark):
     dim = od.versions(c, "k", "ts", ["v"], "seq")
     assert [(r.v, r.is_current) for r in dim.orderBy("valid_from").collect()] == [("a", False), (None, True)]
     facts = spark.createDataFrame([(1, datetime(2024, 1, 2)), (1, datetime(2024, 1, 3)), (1, datetime(2023, 1, 1))], "k int, at timestamp")
-    assert [r.v for r in od.as_of(facts, "k", "at", dim).orderBy("at").collect()] == ["a", None]
+    assert [(r.v, r.valid_from is None) for r in od.as_of(facts, "k", "at", dim).orderBy("at").collect()] == [(None, True), ("a", False), (None, False)]
 
 
 def test_shift_minutes_across_days(spark):
@@ -281,3 +282,55 @@ def test_deletes_and_unresolved(spark):
 def test_bands(spark):
     r = spark.range(1).select(scores.risk_band(F.lit(0.72)).alias("a"), scores.risk_band(F.lit(0.4)).alias("b"), scores.drift_band(F.lit(0.25)).alias("c")).first()
     assert tuple(r) == ("high", "low", "medium")
+
+
+def test_transaction_without_product_keeps_its_label(spark):
+    txns = spark.createDataFrame([(1, "A", 1.0, 0), (2, None, 5.0, 1), (3, None, 5.0, 0)], "txn_id long, product string, amount double, label int")
+    out = an.transaction_anomalies(txns, an.amount_statistics(txns)).collect()
+    assert [(r.txn_id, r.product, r.anomaly_type) for r in out] == [(2, None, "fraud_label")]
+
+
+def test_as_of_keeps_facts_without_a_version(spark):
+    facts = spark.createDataFrame([(1, 5), (1, 0), (9, 5)], "k long, at long")
+    dim = spark.createDataFrame([(1, "a", 1, 4), (1, "b", 4, None)], "k long, v string, valid_from long, valid_to long")
+    assert sorted((r.k, r.at, str(r.v)) for r in od.as_of(facts, "k", "at", dim).collect()) == [(1, 0, "None"), (1, 5, "b"), (9, 5, "None")]
+
+
+def test_insert_if_absent_keeps_the_first_of_equal_keys(spark):
+    old, new = spark.createDataFrame([(1, "old", 0)], "k long, v string, seq int"), spark.createDataFrame([(1, "x", 1), (2, "later", 3), (2, "first", 2)], "k long, v string, seq int")
+    assert sorted(tuple(r)[:2] for r in ly.insert_if_absent(old, new, ["k"], "seq").collect()) == [(1, "old"), (2, "first")]
+
+
+def test_upsert_of_equal_sequences_is_defined(spark):
+    old, new = spark.createDataFrame([(1, "z", 1)], "k long, v string, seq int"), spark.createDataFrame([(1, "a", 1), (1, "b", 1)], "k long, v string, seq int")
+    assert [r.v for r in ly.upsert(old, new.repartition(2), ["k"], "seq").collect()] == ["b"]
+
+
+def test_fixed_kmeans_equals_plain_version(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, float(r.choice((0, 0, 0, r.randint(1, 900)))), float(r.randint(0, 20))) for i in range(200)]
+    got = {x.key: x.cluster for x in sg.fixed_kmeans(spark.createDataFrame(rows, "key long, a double, b double"), ["a", "b"], "a", "key", k=3, rounds=12).collect()}
+    top = [max(x[1] for x in rows), max(x[2] for x in rows)]
+    points = {i: (a / top[0], b / top[1]) for i, a, b in rows}
+    order = [x[0] for x in sorted(rows, key=lambda x: (x[1], x[0]))]
+    centres = [points[order[min(199, i * (200 // 3))]] for i in range(3)]
+    near = lambda p: min(range(3), key=lambda c: (sum((x - y) ** 2 for x, y in zip(p, centres[c])), c))
+    for _ in range(12):
+        groups = [[p for p in points.values() if near(p) == c] for c in range(3)]
+        centres = [tuple(sum(x) / len(g) for x in zip(*g)) if g else c for g, c in zip(groups, centres)]
+    assert got == {i: near(p) for i, p in points.items()}
+
+
+def test_nearest_over_many_cells(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "id long, v array<double>")
+    asked = df.filter("id % 5 = 0").withColumnRenamed("id", "query_id")
+    got = {(r.query_id, r["rank"]): r.id for r in rt.nearest(df, asked, "id", "v", k=3, block=4, chunk=7).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert got == {(q, k + 1): int(i) for q in range(0, 60, 5) for k, i in enumerate(np.argsort(-(u[q] @ u.T))[:3])}
+    assert rt.nearest(df.filter("id < 0"), asked, "id", "v").count() == 0
