@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +17,26 @@ from .common import read, text_or_empty
 from .html_nodes import GROUPS, Node, blocks, features, parse
 
 #: Bounds of the training sample: pages of the table (those whose ids have the smallest hash), and layouts made by rule.
-SAMPLE_PAGES, LAYOUTS = 400, 600
-TREES, TREE_DEPTH, SEED = 16, 5, 7
+SAMPLE_PAGES, LAYOUTS = 400, 1200
+#: Characters of html whose nodes a task holds at once, but for a single longer page.
+HELD = 1 << 22
+TREES, TREE_DEPTH, SEED = 20, 6, 7
 
 
 def rule_labels(nodes: list[Node]) -> list[int | None]:
-    """1 for an article, what it holds and what holds it; 0 for what markup names as something else; None where markup doesn't tell."""
+    """1 for an article, what it holds and what holds it; 0 for elements of other kinds and what they hold; None where elements don't tell.
+
+    Only tags decide, and tokens where they agree with the place: a name that sounds like junk inside an article
+    may be an article's own name, so that it is left to the made layouts to say.
+    """
     out: dict[int, int | None] = {}
     for n in nodes:
         above = out[id(n.parent)] if n.parent else None
         group = GROUPS.get(n.tag, -1)
-        if above == 0 or 5 <= group <= 9 or n.bad:
+        if above == 0 or 5 <= group <= 9 or n.bad and not n.good and above != 1 and not n.paragraphs:
             out[id(n)] = 0
+        elif n.bad:
+            out[id(n)] = None
         elif above == 1 or group == 0 or n.good:
             out[id(n)] = 1
         else:
@@ -55,6 +63,14 @@ def layout(seed: int) -> tuple[str, list[int]]:
     def named(names: str) -> str:
         return f' {r.choice(("class", "id"))}="{r.choice(names.split())}{r.choice(("", "-box", " wide", "-1"))}"'
 
+    def misnamed(body: str) -> str:
+        """A name that holds a junk word: a good word beside it or, where there are paragraphs enough to tell, none."""
+        bad = r.choice("login header banner search share widget modal related footer comment social newsletter menu cookie promo".split())
+        good = r.choice("story article post content entry text main body".split())
+        if body.count("<p>") >= 4 and r.random() < 0.6:
+            return f' {r.choice(("class", "id"))}="{bad}-{r.choice(("page", "view", "wrap", "x"))}"' if bad not in ("comment", "related") else f' class="{bad}-{good}"'
+        return f' {r.choice(("class", "id"))}="{r.choice((f"{bad}-{good}", f"{good} {bad}", f"{bad}-free-{good}", f"main-{bad}-{good}"))}"'
+
     def junk() -> str:
         kind = r.randrange(9)
         if kind == 0:
@@ -84,14 +100,18 @@ def layout(seed: int) -> tuple[str, list[int]]:
                 body += el("h2", prose(r.randint(1, 6)), 1)
             elif kind == 1:
                 body += el("ul", "".join(el("li", prose(r.randint(3, 15)), 1) for _ in range(3)), 1)
-            elif kind == 2:
+            elif kind in (2, 4):
                 body += el("blockquote", el("p", prose(r.randint(5, 30)), 1), 1)
             elif kind == 3 and r.random() < 0.6:
                 body += junk()
             else:
-                body += el("p", prose(r.randint(1, 120)), 1)
-        if r.random() < 0.5:
-            return el(r.choice(("article", "main")), body, 1)
+                text = prose(r.randint(1, 120)) if r.random() < 0.8 else r.choice((prose(1), prose(2), word()[:3].title() + "."))
+                body += el("p", f"<b>{text}<br>" if len(text) < 6 and r.random() < 0.6 else r.choice((text, text, text, f"<b>{text}<br>", f"<b>{text}</b>", f"{text} <a href='/{word()}'>{word()}</a> {text}<br>{text}")), 1)
+        kind = r.random()
+        if kind < 0.4:
+            return el(r.choice(("article", "main")), body, 1, r.choice(("", "", misnamed(body))))
+        if kind < 0.65:
+            return el(r.choice(("div", "section")), body, 1, misnamed(body))
         return el(r.choice(("div", "section")), body, 1, r.choice((named("content article post entry story main"), "")))
 
     main = article()
@@ -135,29 +155,25 @@ def training_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 class Forest:
     """The trees of a fitted model as arrays, for whole batches of nodes."""
 
-    def __init__(self, texts: list[str], weights: list[float]):
-        self.trees = [self._read(t) for t in texts]
-        self.weights = weights
+    def __init__(self, model: GBTClassificationModel):
+        self.trees = [self._read(t._call_java("rootNode")) for t in model.trees]
+        self.weights = list(model.treeWeights)
 
     @staticmethod
-    def _read(text: str) -> tuple[np.ndarray, ...]:
-        lines = [x.strip() for x in text.splitlines()[1:] if x.strip()]
+    def _read(root) -> tuple[np.ndarray, ...]:
         feature, limit, yes, no, value = [], [], [], [], []
 
-        def grow(i: int) -> tuple[int, int]:
+        def grow(node) -> int:
             at = len(feature)
-            for a, v in ((feature, -1), (limit, 0.0), (yes, at), (no, at), (value, 0.0)):
+            for a, v in ((feature, -1), (limit, 0.0), (yes, at), (no, at), (value, node.prediction())):
                 a.append(v)
-            if lines[i].startswith("Predict"):
-                value[at] = float(lines[i].split(":")[1])
-                return at, i + 1
-            m = re.match(r"If \(feature (\d+) <= ([-0-9.E]+)\)", lines[i])
-            feature[at], limit[at] = int(m[1]), float(m[2])
-            yes[at], i = grow(i + 1)
-            no[at], i = grow(i + 1)  # past its Else
-            return at, i
-
-        grow(0)
+            if node.subtreeDepth():
+                split = node.split()
+                feature[at], limit[at] = split.featureIndex(), split.threshold()
+                yes[at], no[at] = grow(node.leftChild()), grow(node.rightChild())
+            return at
+
+        grow(root)
         return tuple(map(np.array, (feature, limit, yes, no, value)))
 
     def margin(self, x: np.ndarray) -> np.ndarray:
@@ -175,7 +191,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     rows = training_rows(pages, id_col, html_col).cache()
     model = GBTClassifier(maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=0.3, seed=SEED).fit(rows)
     rows.unpersist()
-    return Forest([t.toDebugString for t in model.trees], list(model.treeWeights))
+    return Forest(model)
 
 
 def decode(nodes: list[Node], margins: np.ndarray) -> np.ndarray:
@@ -197,10 +213,18 @@ def decode(nodes: list[Node], margins: np.ndarray) -> np.ndarray:
     return out
 
 
+def portions(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    part = batch["html"].str.len().cumsum() // HELD
+    return (rows for _, rows in batch.groupby(part))
+
+
 def extract(pages: DataFrame, forest: Forest, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars. Null or empty html gives an empty text. Rows stay where they are: no shuffle."""
+    """page_id, url, text, n_chars. Null or empty html gives an empty text; repeated rows give repeated rows, no rows none.
+
+    Rows stay where they are: no shuffle. Pages are whole, and those of HELD characters of html are in memory as nodes at once.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             parsed = [parse(x) for x in batch["html"]]
             margins = forest.margin(np.concatenate([features(n) for n in parsed])) if parsed else np.zeros(0)
             texts, at = [], 0

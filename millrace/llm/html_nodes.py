@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from math import log1p
 
 import numpy as np
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag with quoted values, else one whose quotes don't pair up. Both give up at the next < outside quotes and never go back, so that a page is scanned once.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>")
 _ATTR = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -27,7 +31,7 @@ BAD_TOKENS = frozenset(
 )
 GROUPS = {t: i for i, names in enumerate(("article main", "section div body html", "p blockquote pre figure figcaption", "h1 h2 h3 h4 h5 h6", "ul ol dl li dd dt menu", "nav", "header", "footer", "aside dialog", "form fieldset button label", "table tbody thead tfoot tr td th")) for t in names.split()}
 N_GROUPS = 12
-FEATURES = N_GROUPS + 18
+FEATURES = N_GROUPS + 20
 
 
 class Node:
@@ -44,36 +48,76 @@ class Node:
             parent.children.append(self)
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """(start, end, match) of each tag, in order; comments and declarations have no match. The caller may send the place where to go on."""
+    at, last = 0, page.rfind(">")
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            m, at = None, end + 3 if end >= 0 else len(page)
+        elif start > last:  # no tag ends after this
+            return
+        elif page.startswith(("<!", "<?"), start):
+            m, at = None, page.find(">", start) + 1
+        elif m := _TAG.match(page, start) or _LOOSE_TAG.match(page, start):
+            at = m.end()
+        else:
+            at = start + 1
+            continue
+        at = (yield start, at, m) or at
+
+
 def parse(page: str) -> list[Node]:
-    """Block nodes in page order; items of a node are its child nodes and pieces of inline text, in order."""
+    """Block nodes in page order; items of a node are its child nodes and pieces of inline text, in order.
+
+    Open elements are counted by name, so that an end tag without a start tag costs nothing, however deep the page.
+    """
     root = Node("html", None, "")
-    nodes, here, inline, at = [root], root, [], 0
-    raw = ""
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            _text(here, page[at : m.start()], "a" in inline)
-        at = m.end()
-        tag = m[2]
-        if not tag:
+    nodes, here, at = [root], root, 0
+    inline: list[str] = []
+    blocks_open: dict[str, int] = defaultdict(int)
+    inline_open: dict[str, int] = defaultdict(int)
+
+    def close(node: Node, upto: Node) -> Node:
+        while node is not upto:
+            blocks_open[node.tag] -= 1
+            node = node.parent
+        return upto
+
+    tags, go_on = _tags(page), None
+    while True:
+        try:
+            start, end, m = tags.send(go_on)
+        except StopIteration:
+            break
+        go_on = None
+        if start > at:
+            _text(here, page[at:start], inline_open["a"] > 0)
+        at = end
+        if not m:
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
         if m[1]:
             if tag in BLOCK:
-                up = here
-                while up and up.tag != tag:
-                    up = up.parent
-                if up and up.parent:
-                    here, inline = up.parent, []
-            elif tag in inline:
-                del inline[len(inline) - 1 - inline[::-1].index(tag) :]
+                if blocks_open[tag]:
+                    up = here
+                    while up.tag != tag:
+                        up = up.parent
+                    here = close(here, up.parent)
+                    inline.clear()
+                    inline_open.clear()
+            elif inline_open[tag]:
+                while True:
+                    last = inline.pop()
+                    inline_open[last] -= 1
+                    if last == tag:
+                        break
             here.n_tags += 1
             continue
         here.n_tags += 1
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
-            raw, at = page[at : end.start()], end.end()
+            stop = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
+            go_on = at = stop.end()
             here.controls += tag in ("select", "textarea", "button")
             continue
         if tag == "br":
@@ -83,6 +127,7 @@ def parse(page: str) -> list[Node]:
         if tag not in BLOCK:
             if tag not in VOID and not m[3].endswith("/"):
                 inline.append(tag)
+                inline_open[tag] += 1
             continue
         if tag in ("html", "head"):
             continue
@@ -90,18 +135,22 @@ def parse(page: str) -> list[Node]:
         up = here
         while up.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and up.parent and (up.tag == "p" or tag[0] == "h" and tag[1:].isdigit()):
             up = up.parent
-        here = up
+        here = close(here, up)
         if tag in ENDS:
             names, bounds = ENDS[tag]
-            while up and up.tag not in bounds.split():
+            target, left = here, sum(blocks_open[n] for n in names.split())
+            while left and up and up.tag not in bounds.split():
                 if up.tag in names.split():
-                    here = up.parent
+                    target, left = up.parent, left - 1
                 up = up.parent
-        inline = []
+            here = close(here, target)
+        inline.clear()
+        inline_open.clear()
         if tag == "hr":
             here.items.append(None)
             continue
         node = Node(tag, here, m[3])
+        blocks_open[tag] += 1
         here.items.append(node)
         nodes.append(node)
         here = node
@@ -120,7 +169,7 @@ def _text(node: Node, piece: str, in_anchor: bool) -> None:
 
 
 def features(nodes: list[Node]) -> np.ndarray:
-    """A row for each node: tag group, attribute tokens of its own and above, depth, siblings, densities of its subtree."""
+    """A row for each node: tag group, attribute tokens of its own and above, depth, siblings, densities of its subtree, its parent's group, and whether all above speaks for it."""
     for n in reversed(nodes):
         if n.tag == "p" and n.text:
             n.paragraphs += 1
@@ -147,7 +196,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         row[N_GROUPS:] = (
             n.good, n.bad, good, bad, bad_tag, art, bool(bad_tag or bad or n.bad), n.depth, n.place / siblings, siblings,
             log1p(n.text), n.text / (1 + n.n_tags), n.anchor / (1 + n.text), n.text / total, n.text / (1 + (p.text if p else n.text)),
-            n.paragraphs, n.controls, n.stops / (1 + n.text),
+            n.paragraphs, n.controls, n.stops / (1 + n.text), GROUPS.get(p.tag, N_GROUPS - 1) if p else -1, bool(p and (good or art) and not (bad or n.bad or bad_tag)),
         )
     return out
 

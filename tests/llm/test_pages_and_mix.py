@@ -45,6 +45,59 @@ def test_held_out_layouts(forest):
     assert hit / total > 0.99 and exact / 150 > 0.95
 
 
+P = "Some people walked over the hill in the morning, and they found a river. "
+#: Pages written by hand, other than the made layouts, with their main texts.
+BY_HAND = [
+    (f'<div class="login-story"><p>{P * 3}</p><p>{P * 2}</p></div>', [P * 3, P * 2]),
+    (f'<nav><ul><li><a href=x>Home</a></li></ul></nav><div class="comment-free-content"><h1>Hill</h1><p>{P * 3}</p><p>{P}</p></div><footer>c</footer>', ["Hill", P * 3, P]),
+    (f'<header><h1>Site</h1></header><div class="main-header-story"><h1>Hill</h1><p>{P * 3}</p><p>{P * 2}</p></div><div class="comments"><h2>Comments</h2><div><p>{P}</p></div></div>', ["Hill", P * 3, P * 2]),
+    (f'<div id="banner-page"><h1>Hill</h1><p>{P * 3}</p><p>{P * 2}</p><p>{P * 2}</p><p>{P * 2}</p></div><div class=ad>Buy now</div>', ["Hill", P * 3, P * 2, P * 2, P * 2]),
+    (f'<ul class="menu"><li><a href=1>One</a><li><a href=2>Two</a></ul><p>{P * 3}</p><p>{P * 2}</p><div class="footer">(c) 2020 all rights</div>', [P * 3, P * 2]),
+    (f'<div id=top><a href=1>a</a> <a href=2>b</a> <a href=3>c</a></div><article class="share"><h2>Hill &amp; vale</h2><p>{P}<blockquote><p>{P * 2}</p></blockquote><p><b>Ok.<br></article><aside>More</aside>', ["Hill & vale", P, P * 2, "Ok."]),
+    (f'<main><h1>Hill</h1><p>{P}</p><section class="related"><h3>Related</h3><ul><li><a href=1>x</a></li><li><a href=2>y</a></li></ul></section><p>{P * 2}</p></main>', ["Hill", P, P * 2]),
+]
+
+
+def test_pages_by_hand(forest):
+    """Nothing kept that isn't main text. Of the blocks, 15 of 22 are found after training on the smallest table, 19 on the largest:
+    headings under misleading names are missed, and all of the page whose only name speaks against it.
+    """
+    found = total = 0
+    for page, want in BY_HAND:
+        got, want = [x for x in _text(forest, f"<html><body>{page}</body></html>").split("\n") if x], [x.strip() for x in want]
+        assert set(got) <= set(want), page
+        found, total = found + len(got), total + len(want)
+    assert found / total >= 0.65
+
+
+@pytest.mark.parametrize("page", ["<p title='a" * 90_000, "<a " * 330_000, "<div>" * 50_000 + "</span></p></td>" * 50_000, "<b>" * 200_000 + "</i>" * 100_000, "<div>" * 2_000 + "<li>x" * 60_000, "<!-- " * 200_000, '<a "<a" ' * 120_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_nodes.parse(page)
+    assert time.process_time() - began < 2
+
+
+def test_decoding_equals_enumeration():
+    """Small trees: the likeliest of all labellings in which nothing is kept below a node that goes."""
+    from itertools import product
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        nodes = [html_nodes.Node("html", None, "")]
+        for _ in range(int(rng.integers(1, 8))):
+            nodes.append(html_nodes.Node("div", nodes[int(rng.integers(len(nodes)))], ""))
+        margins = rng.normal(size=len(nodes))
+        place = {id(n): i for i, n in enumerate(nodes)}
+        up = [place[id(n.parent)] if n.parent else 0 for n in nodes]
+        score = lambda keep: sum(-np.logaddexp(0, -2 * m if k else 2 * m) for k, m in zip(keep, margins))
+        best = max((k for k in product((False, True), repeat=len(nodes)) if k[0] and all(not k[i] or k[up[i]] for i in range(len(nodes)))), key=score)
+        assert tuple(html_extract.decode(nodes, margins)) == best
+
+
 def test_decoding_never_keeps_below_a_dropped_node(forest):
     import numpy as np
 
