@@ -174,13 +174,14 @@ sc AS (SELECT query_id, chunk, sum(4 + contains(h, token)::INT) + least(length(a
 @query("r04_lexical_scores", f"{SCORES} SELECT query_id, count(*) AS chunks, max(score)::INT AS best, round(sum(score) * 1200)::BIGINT AS total FROM sc GROUP BY 1")
 def r04(spark, d):
     """Scores are multiples of 1 / 1200: their total is given in that unit."""
-    return rt.scores(chunks(spark, d), questions(spark, d), "chunk").groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.max("score"), 0).cast("int").alias("best"), F.round(F.sum("score") * 1200).cast("long").alias("total"))
+    rows = rt.totals(chunks(spark, d), questions(spark, d), "chunk")
+    return rows.select("query_id", "chunks", F.round("best", 0).cast("int").alias("best"), F.round(F.col("total") * 1200).cast("long").alias("total"))
 
 
 @query("r05_top_chunks", f"{SCORES} SELECT query_id, chunk, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM sc QUALIFY rank <= 5")
 def r05(spark, d):
     c, q = chunks(spark, d), questions(spark, d)
-    ranked = rt.top(rt.scores(c, q, "chunk"), "chunk")
+    ranked = rt.top(c, q, "chunk")
     return rt.with_fallback(ranked, q, c, "chunk").select("query_id", "chunk", "rank")
 
 

@@ -245,10 +245,48 @@ def test_sections_and_cleaning(spark):
 def test_fallback_for_queries_without_hits(spark):
     chunks = spark.createDataFrame([("c1", "H", "apple pie"), ("c2", "Pie", "cake")], "c string, heading string, body string")
     q = spark.createDataFrame([(1, "pie"), (2, "?"), (3, "zebra")], "query_id long, question string")
-    out = rt.with_fallback(rt.top(rt.scores(chunks, q, "c"), "c"), q, chunks, "c", 2).collect()
+    out = rt.with_fallback(rt.top(chunks, q, "c"), q, chunks, "c", 2).collect()
     assert [(r.c, r.rank) for r in out if r.query_id == 1][0] == ("c2", 1) and {r.query_id for r in out} == {1, 2, 3}
 
 
+def test_lexical_top_equals_brute_force(spark):
+    import random
+    import re
+
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    rows = [(f"c{i:03d}", text(1), text(r.randrange(0, 40))) for i in range(700)]
+    asked = [(i, text(3)) for i in range(9)] + [(9, None), (10, "")]
+    chunks, q = spark.createDataFrame(rows, "c string, heading string, body string").repartition(3), spark.createDataFrame(asked, "query_id long, question string")
+    find = lambda t: set(re.findall(r"[a-z0-9_./+-]{2,}", t))
+    want, sums = {}, {}
+    for i, question in asked:
+        hits = []
+        for key, heading, body in rows:
+            common = find(question or "") & find(f"{heading} {body}")
+            if common:
+                hits.append((sum(4 + (t in heading) for t in common) + min(3.0, len(body) / 1200), key))
+        for n, (s, key) in enumerate(sorted(hits, key=lambda x: (-x[0], x[1]))[:4], 1):
+            want[i, n] = (key, s)
+        if hits:
+            sums[i] = (len(hits), max(hits)[0], round(sum(s for s, _ in hits) * 1200))
+    for block, group in ((2048, 2048), (3, 100)):
+        assert {(x.query_id, x.rank): (x.c, x.score) for x in rt.top(chunks, q, "c", 4, block, group).collect()} == want
+        assert {x.query_id: (x.chunks, x.best, round(x.total * 1200)) for x in rt.totals(chunks, q, "c", block, group).collect()} == sums
+    assert rt.top(chunks.limit(0), q, "c").count() == 0 and rt.top(chunks, q.limit(0), "c").count() == 0
+
+
+def test_sections_of_odd_texts(spark):
+    texts = ["# A\n# B\nx", "", "\n\n", "x\n## \ny\n", "#no\n#### D  ", "a\r\n# T\r\nb"]
+    out = rt.sections(spark.createDataFrame(list(enumerate(texts)), "d int, t string"), "d", "t").collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.d, []).append((r.section, r.heading, r.body))
+    assert got[0] == [(1, "A", ""), (2, "B", "x")] and got[1] == [(0, "Overview", "")] and got[2] == [(0, "Overview", "\n\n")]
+    assert got[3] == [(0, "Overview", "x"), (1, "", "y\n")] and got[4] == [(0, "Overview", "#no"), (1, "D", "")] and [x[0] for x in got[5]] == [0, 1]
+
+
 def test_nearest_equals_brute_force(spark):
     import numpy as np
 
