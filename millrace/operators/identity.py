@@ -28,23 +28,37 @@ def blocking_is_lossless(weights: dict[str, float], least: float) -> bool:
     return all(total - weights[k] < least for k in ("phone", "email"))
 
 
-def candidate_pairs(people: DataFrame) -> DataFrame:
-    """Pairs (l, r) in arrival order that share the unified key, or phone and email: two equi joins.
+RECORD = ("unified_key", "name", "phone", "email", "dob", "postal")
 
-    people: seq, unified_key, name, phone, email, dob, postal.
+
+def candidate_pairs(people: DataFrame, expand: bool = False) -> DataFrame:
+    """Pairs (l, r) in arrival order that share the unified key, or phone and email.
+
+    people: seq and the columns of RECORD. Each group of one unified key gives the pairs of its first row with every other, and rows that are alike in
+    all columns count as their first row, with which each of them is paired: links between different records are all there, and a hot key costs a
+    row for each of its rows. expand gives all pairs instead, which grow with the square of a key's rows.
     """
     if not blocking_is_lossless(WEIGHTS, REVIEW_MIN):
         raise ValueError("these weights need other blocks")
     p = people.select("seq", "unified_key", person_name(F.col("name")).alias("name"), *[contact(F.col(c)).alias(c) for c in ("phone", "email", "dob", "postal")])
-    p = p.select("seq", F.struct("unified_key", "name", "phone", "email", "dob", "postal").alias("p"))
-    side = lambda s: p.select(F.col("seq").alias(f"{s}_seq"), F.col("p").alias(s))
-    l, r = side("l"), side("r")
+    p = p.select("seq", F.struct(*RECORD).alias("p"))
+    side = lambda rows, s: rows.select(F.col("seq").alias(f"{s}_seq"), F.col("p").alias(s))
+    l, r = side(p, "l"), side(p, "r")
     apart = F.col("l_seq") < F.col("r_seq")
-    by_key = l.join(r, (F.col("l.unified_key") == F.col("r.unified_key")) & apart)
+    other_key = ~F.coalesce(F.col("l.unified_key") == F.col("r.unified_key"), F.lit(False))
+    reachable = (F.col("p.phone") != "") & (F.col("p.email") != "")
     same = (F.col("l.phone") == F.col("r.phone")) & (F.col("l.email") == F.col("r.email"))
-    blank = (F.col("l.phone") == "") | (F.col("l.email") == "")
-    by_contact = l.join(r, same & apart & ~blank).filter(~F.coalesce(F.col("l.unified_key") == F.col("r.unified_key"), F.lit(False)))
-    return by_key.unionByName(by_contact)
+    if expand:
+        by_key = l.join(r, (F.col("l.unified_key") == F.col("r.unified_key")) & apart)
+        able = p.filter(reachable)
+        return by_key.unionByName(side(able, "l").join(side(able, "r"), same & apart).filter(other_key))
+    first = p.filter("p.unified_key IS NOT NULL").groupBy(F.col("p.unified_key").alias("key")).agg(F.min("seq").alias("seq"), F.min_by("p", "seq").alias("p"))
+    by_key = side(first, "l").join(r, (F.col("l.unified_key") == F.col("r.unified_key")) & apart)
+    alike = p.filter(reachable).groupBy("p").agg(F.min("seq").alias("seq"))
+    # copies under one key are paired by it
+    copies = side(alike.filter("p.unified_key IS NULL"), "l").join(r.filter("r.unified_key IS NULL"), F.col("l").eqNullSafe(F.col("r")) & apart)
+    by_contact = side(alike, "l").join(side(alike, "r"), same & apart).filter(other_key)
+    return by_key.unionByName(copies).unionByName(by_contact)
 
 
 @F.pandas_udf(DoubleType())

@@ -50,13 +50,13 @@ def t02(spark, d):
     return cdc.into_table(spark, cdc.features(keyed(spark, d, True), None), ["customer"]).select("customer", "last_product")
 
 
-@query("t03_unresolved_events", f"SELECT count(*) AS n FROM ({KEYED}) WHERE customer IS NULL")
+@query("t03_unresolved_events", f"SELECT count(*) AS n, count(*) AS observed, (SELECT count(*) FROM ({KEYED})) AS events FROM ({KEYED}) WHERE customer IS NULL")
 def t03(spark, d):
-    """Unresolved events go to a sink of their own; the stream goes on."""
-    lost = keyed(spark, d, True).filter("customer IS NULL").select("event_id", "table")
-    sink = cdc.VersionedSink(spark, ly.work_folder(spark, "unresolved"), ["event_id"])
-    cdc.run_available(lost, sink, ly.work_folder(spark, "checkpoint"), "append")
-    return sink.table().agg(F.count(F.lit(1)).alias("n"))
+    """Unresolved events go to a sink of their own and are counted as they pass; the stream goes on."""
+    sink = cdc.UnresolvedSink(spark, ly.work_folder(spark, "unresolved"), ["event_id"])
+    cdc.run_available(keyed(spark, d, True).select("event_id", "table", "customer"), sink, ly.work_folder(spark, "checkpoint"), "append")
+    total = lambda k: F.lit(sum(c[k] for c in sink.counts.values())).cast("long")
+    return sink.table().agg(F.count(F.lit(1)).alias("n")).withColumn("observed", total("unresolved")).withColumn("events", total("events"))
 
 
 @query("t04_key_resolution", f"SELECT event_id::VARCHAR AS event_id, customer FROM ({KEYED})")
@@ -95,13 +95,25 @@ def t08(spark, d):
     return cdc.into_table(spark, cdc.features(keyed(spark, d, True), None), ["customer"], rocksdb=True).select("customer", "orders", "carts")
 
 
-@query("t09_cdc_merge", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'")
+MERGED = "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'"
+
+
+@query("t09_cdc_merge", MERGED)
 def t09(spark, d):
     """Errors stand for deletes."""
     rows = table(spark, d, "events").withColumn("op", F.when(F.col("event_type") == "error", "d").otherwise("u"))
     return cdc.latest_versions(rows, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
+@query("t09_stream_merge", MERGED)
+def t09_stream(spark, d):
+    """The same rows by a stream that merges each batch."""
+    events = spark.readStream.schema(RAW).parquet(f"{d}/events.parquet*")
+    sink = cdc.MergeSink(spark, ly.work_folder(spark, "merged"), "user_id", "ts", "event_id")
+    cdc.run_available(events.withColumn("op", F.when(F.col("event_type") == "error", "d").otherwise("u")), sink, ly.work_folder(spark, "checkpoint"), "append")
+    return sink.table().select("user_id", "event_id", "event_type")
+
+
 @query("t10_lateness", "SELECT CASE WHEN l <= 60 THEN 'up to 60 s' WHEN l <= 300 THEN 'up to 300 s' WHEN l <= 3600 THEN 'up to 3600 s' WHEN l <= 86400 THEN 'up to 86400 s' ELSE 'over 86400 s' END AS bucket, count(*) AS n FROM (SELECT floor(value * 20)::BIGINT AS l FROM events) GROUP BY 1")
 def t10(spark, d):
     ts = F.col("ts").cast("timestamp")
@@ -132,8 +144,8 @@ def s18(spark, d):
 
 @query("s17_cdc_stream_source", f"SELECT event_id::VARCHAR AS event_id, kind AS table_name FROM ({KEYED})")
 def s17(spark, d):
-    """A broker's topic is replaced by files; kafka_source reads the same schema."""
+    """A broker's topic is replaced by files of its values; kafka_source decodes records by the same step."""
     sink = cdc.VersionedSink(spark, ly.work_folder(spark, "topic"), ["event_id"])
-    stream = cdc.json_replay(spark, _replayed(spark, d), stream=True).select("event_id", F.col("table").alias("table_name"))
-    cdc.run_available(stream, sink, ly.work_folder(spark, "checkpoint"), "append")
+    records = spark.readStream.text(_replayed(spark, d)).select(F.encode("value", "UTF-8").alias("value"))
+    cdc.run_available(cdc.decoded(records).select("event_id", F.col("table").alias("table_name")), sink, ly.work_folder(spark, "checkpoint"), "append")
     return sink.table()

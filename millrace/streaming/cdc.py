@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import intent
@@ -19,7 +19,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def kafka_source(spark: SparkSession, servers: str, topics: str, schema: str = CDC_SCHEMA, max_per_trigger: int = 1_000_000) -> DataFrame:
     """Change events from broker topics; needs Spark's Kafka package on the cluster."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", max_per_trigger).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e")).select("e.*")
+    return decoded(raw, schema)
+
+
+def decoded(raw: DataFrame, schema: str = CDC_SCHEMA) -> DataFrame:
+    """Change events from a broker's records, whose value holds JSON; values that are none, or have no event id, are skipped."""
+    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e")).select("e.*").filter("event_id IS NOT NULL")
 
 
 def json_replay(spark: SparkSession, path: str, schema: str = CDC_SCHEMA, stream: bool = False) -> DataFrame:
@@ -89,6 +94,35 @@ class VersionedSink:
         return latest_by(self.spark.read.parquet(self.path), self.keys, [F.desc("version")]).drop("version")
 
 
+class UnresolvedSink(VersionedSink):
+    """Keeps the events without a customer; counts holds, for each batch, how many came and how many of them had none, observed as they pass."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
+        super().__init__(spark, path, keys)
+        self.counts: dict[int, dict[str, int]] = {}
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        seen = Observation()
+        rows = batch.observe(seen, F.count(F.lit(1)).alias("events"), F.count_if(F.col("customer").isNull()).alias("unresolved"))
+        super().__call__(rows.filter("customer IS NULL").drop("customer"), number)
+        self.counts[number] = seen.get
+
+
+class MergeSink(VersionedSink):
+    """The newest version of each source row by (ts, seq), whatever the order of arrival; a delete stays as a mark, so that a late older version doesn't revive the row."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, ts: str, seq: str, op: str = "op"):
+        super().__init__(spark, path, [key])
+        self.order, self.op = [F.desc(ts), F.desc(seq)], op
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        super().__call__(latest_by(batch, self.keys, self.order), number)
+
+    def table(self) -> DataFrame:
+        rows = latest_by(self.spark.read.parquet(self.path), self.keys, [*self.order, F.desc("version")])
+        return rows.filter(F.col(self.op) != "d").drop("version")
+
+
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:
     """Processes what is there and ends; started again with the same checkpoint, it goes on where it stopped."""
     q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

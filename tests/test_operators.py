@@ -96,7 +96,7 @@ def test_blocking_finds_all_pairs(spark):
     r = random.Random(3)
     people = [(i, r.choice([None, "k1", "k2"]), r.choice(["Al Bo", "Al Bob", "Cy Dee"]), r.choice(["1", "2", ""]), r.choice(["a@b", "c@d", ""]), r.choice(["x", ""]), r.choice(["9", "8"])) for i in range(60)]
     df = spark.createDataFrame(people, PEOPLE)
-    got = {(x.l_seq, x.r_seq): x.score for x in idy.score(idy.candidate_pairs(df), idy.name_ratio(F.col("l.name"), F.col("r.name"))).collect()}
+    got = {(x.l_seq, x.r_seq): x.score for x in idy.score(idy.candidate_pairs(df, expand=True), idy.name_ratio(F.col("l.name"), F.col("r.name"))).collect()}
     from difflib import SequenceMatcher
 
     want = {}
@@ -109,6 +109,31 @@ def test_blocking_finds_all_pairs(spark):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 0.0006 for k in want)
 
 
+def test_representatives_keep_every_link(spark):
+    """Each pair of all pairs is there, between the first rows of its two records, or joins rows of one key or of one record."""
+    import random
+
+    r = random.Random(4)
+    people = [(i, r.choice([None, None, "k1", "k2"]), r.choice(["Al Bo", "Cy Dee"]), r.choice(["1", "2", ""]), r.choice(["a@b", "c@d", ""]), r.choice(["x", ""]), "9") for i in range(80)]
+    df = spark.createDataFrame(people, PEOPLE)
+    every = {(x.l_seq, x.r_seq) for x in idy.candidate_pairs(df, expand=True).collect()}
+    few = [(x.l_seq, x.r_seq) for x in idy.candidate_pairs(df).collect()]
+    assert len(few) == len(set(few)) and set(few) < every
+    first, key = {}, {}
+    for p in people:
+        first.setdefault(p[1:], p[0])
+        key.setdefault(p[1], p[0])
+    for a, b in every:
+        ra, rb = first[people[a][1:]], first[people[b][1:]]
+        if people[a][1] and people[a][1] == people[b][1]:
+            assert all(x == key[people[a][1]] or (key[people[a][1]], x) in few for x in (a, b))
+        elif ra == rb:
+            assert all(x == ra or (ra, x) in few for x in (a, b))
+        else:
+            assert (min(ra, rb), max(ra, rb)) in few
+    assert idy.candidate_pairs(df.limit(0)).count() == 0
+
+
 def test_known_identity_candidates(spark):
     rows = [(1, "U1", "Mei Ling", "p", "e", "d", "z"), (2, None, "Mei-Ling", "p", "e", "d", "z"), (3, None, "", "", "", "", "")]
     out = idy.score(idy.candidate_pairs(spark.createDataFrame(rows, PEOPLE)), idy.name_ratio(F.col("l.name"), F.col("r.name"))).collect()
