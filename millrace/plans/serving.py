@@ -9,9 +9,11 @@ from ..operators import features as fe
 from ..operators import quality as dq
 from ..operators import retrieval as rt
 from .base import query, table
-from .contracts import everything
+from .contracts import everything, outbox
 from .customers import BANDED, DRIFT, FEATURES, d05, LAPSE, PROPENSITY_SCALE, customer_base, eligible, policies, ELIGIBLE
 from .layers import REJECTS, checked_orders
+from .matching import short_scores, SHORT
+from .streams import SERVED, t07
 
 SEGMENTS = f"SELECT c_mktsegment AS segment, count(*) AS customers, round(avg(monetary_30d), 2) AS mean_monetary FROM ({FEATURES}) JOIN customer ON customer = c_custkey GROUP BY 1"
 
@@ -203,3 +205,36 @@ def v_lineage(spark, d):
         one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(layer).alias("layer"), F.lit(t).alias("table_name"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("v_inventory", "SELECT 'SKU-' || p_partkey AS sku, p_name, p_size AS on_hand, (round(p_retailprice * 100)::BIGINT / 100)::DOUBLE AS unit_price FROM part ORDER BY p_partkey")
+def v_inventory(spark, d):
+    """Stock of each part with its price in currency units."""
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    rows = table(spark, d, "part").orderBy("p_partkey")
+    return rows.select(F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string")).alias("sku"), "p_name", F.col("p_size").alias("on_hand"), (cents / 100).alias("unit_price"))
+
+
+@query("v_outbox", "SELECT event_id, event_type, json_extract_string(props, '$.k') AS k, event_id % 50 = 0 AS pending FROM events ORDER BY CASE WHEN event_id % 400 <> 7 THEN ts END DESC NULLS LAST, event_id DESC LIMIT 100")
+def v_outbox(spark, d):
+    """The newest 100 outbox events with their payload parsed: a top-k report. Events whose time can't be parsed come last."""
+    rows = outbox(spark, d).withColumn("at", F.try_to_timestamp("created_at")).orderBy(F.desc_nulls_last("at"), F.desc("event_id")).limit(100)
+    return rows.select("event_id", "event_type", F.get_json_object("payload", "$.k").alias("k"), (F.col("status") == "PENDING").alias("pending"))
+
+
+@query("v_customers", "SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey")
+def v_customers(spark, d):
+    return table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").orderBy("c_custkey")
+
+
+@query("v_online_features", f"SELECT * FROM ({SERVED}) WHERE customer = '42'")
+def v_online(spark, d):
+    """One customer's features, those of the batch merged with those of the stream."""
+    return t07(spark, d).filter("customer = '42'")
+
+
+@query("v_identity_candidates", f"{SHORT} SELECT l_seq, r_seq, action, round(score, 2) AS score FROM c WHERE action IS NOT NULL ORDER BY score DESC, l_seq, r_seq")
+def v_candidates(spark, d):
+    """Candidates, the best first."""
+    rows = short_scores(spark, d).orderBy(F.desc("score"), "l_seq", "r_seq")
+    return rows.select("l_seq", "r_seq", "action", F.round("score", 2).alias("score"))
