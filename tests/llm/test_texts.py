@@ -213,7 +213,7 @@ def test_license_find_equals_exhaustive_search():
         found = license_scan.find(index, " ".join(doc))
         if best >= index.min_coverage * 14:
             assert [round(c * 14) for _, _, _, c in found] == [best]
-            words_in = " ".join(doc)[found[0][1] : found[0][2]].split()
+            words_in = license_scan._words(" ".join(doc)[found[0][1] : found[0][2]])
             assert words_in[0] in text.split() and words_in[-1] in text.split()
         else:
             assert found == []
