@@ -197,8 +197,8 @@ def test_license_recall_against_every_alignment():
                 step = max(1, index.slack(t) // 2)
                 if max(index.align(t, ids, s)[0] for s in range(0, max(1, len(ids) - len(own) + 1), step)) >= index.min_coverage * len(own):
                     due += 1
-                    # a shorter or longer text of the same family may win the span
-                    met += any(n == name or c >= index.min_coverage for n, _, _, c in found)
+                    # the two texts of this family differ by one sentence: either may win the span
+                    met += any(n == name or {n, name} == {"BSD-2-Clause", "BSD-3-Clause"} for n, _, _, _ in found)
     assert due > 80 and met >= 0.98 * due, (due, met)
 
 
