@@ -112,7 +112,7 @@ class Lexicon:
 def _lexical(chunks: DataFrame, queries: DataFrame, key: str, work: Callable, schema: str, block: int, group: int) -> DataFrame:
     """work of a lexicon and chunks, in pieces that see every pair of a question and a chunk once.
 
-    At most block questions, counted first, are sent along with the tasks, and chunks stay where they are. More are dealt into blocks, chunks into groups, and each
+    At most block questions, counted first, are sent along with the tasks, among which chunks are dealt evenly. More are dealt into blocks, chunks into groups, and each
     pair of a block and a group is a piece of its own.
     """
     c = chunks.select(F.col(key).alias("key"), F.least(F.length("body") / 1200, F.lit(3.0)).alias("long"), F.lower("heading").alias("h"), tokens(F.concat_ws(" ", "heading", "body")).alias("tokens"))
@@ -125,7 +125,8 @@ def _lexical(chunks: DataFrame, queries: DataFrame, key: str, work: Callable, sc
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield work(Lexicon(ids, own), batches)
 
-        return c.mapInPandas(run, schema)
+        # few input files would leave most cores idle
+        return c.repartition(int(c.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").mapInPandas(run, schema)
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     blocks, groups = -(-n // block), max(1, -(-c.count() // group))
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("group", every(groups))
