@@ -64,3 +64,12 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col("doc")[c].alias(c) for c in columns])
+
+
+#: In UTF-8, lower-cases A-Z and blanks every other ASCII character that is neither a letter nor a digit.
+WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def byte_words(text: bytes | None) -> list[bytes]:
+    """Runs of lower-cased letters, digits and all characters beyond ASCII, in order; none for a null text."""
+    return text.translate(WORD_TABLE).split() if text else []

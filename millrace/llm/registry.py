@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_extract, license_scan, line_dedup, mixing, quality, secrets, simhash, url_filter
+from . import bpe, decontaminate, exact_dedup, html_extract, license_scan, line_dedup, mixing, quality, resampling, secrets, simhash, url_filter, vector_codes
 
 QUERIES = {
     "op1_licenses": license_scan.op1_licenses,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_bpe": bpe.op9_bpe,
     "op10_urls": url_filter.op10_urls,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_resample": resampling.op12_resample,
+    "op13_decontaminate": decontaminate.op13_decontaminate,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,7 @@ ORACLE_SQL = {
     "op7_mixing": mixing.SQL,
     "op8_secrets": secrets.SQL,
     "op10_urls": url_filter.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_resample": resampling.SQL,
+    "op13_decontaminate": decontaminate.SQL,
 }
