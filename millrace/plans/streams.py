@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import layers as ly
-from ..streaming import cdc
+from ..streaming import cdc, merge
 from .base import query, table
 from .customers import FEATURES, customer_base
 
@@ -114,6 +114,15 @@ def t09_stream(spark, d):
     return sink.table().select("user_id", "event_id", "event_type")
 
 
+@query("t09_stateful_merge", MERGED)
+def t09_stateful(spark, d):
+    """The same rows by a stream with state: it knows of each user the newest version, so that only newer ones reach the table."""
+    events = spark.readStream.schema(RAW).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    changes = events.withColumn("op", F.when(F.col("event_type") == "error", "d").otherwise("u"))
+    out = merge.merged(spark, changes, ly.work_folder(spark, "merged"), ly.work_folder(spark, "checkpoint"), "user_id", "ts", "event_id")
+    return out.select("user_id", "event_id", "event_type")
+
+
 @query("t10_lateness", "SELECT CASE WHEN l <= 60 THEN 'up to 60 s' WHEN l <= 300 THEN 'up to 300 s' WHEN l <= 3600 THEN 'up to 3600 s' WHEN l <= 86400 THEN 'up to 86400 s' ELSE 'over 86400 s' END AS bucket, count(*) AS n FROM (SELECT floor(value * 20)::BIGINT AS l FROM events) GROUP BY 1")
 def t10(spark, d):
     ts = F.col("ts").cast("timestamp")

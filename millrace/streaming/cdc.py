@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import intent
 from ..operators.quality import latest_by
-from ..sources.layers import merge_fields, work_folder
+from ..sources.layers import exists, make_folder, merge_fields, remove, work_folder
 
 #: One change event; after holds the union of the tables' columns.
 CDC_SCHEMA = "event_id string, `table` string, op string, event_ts timestamp, after struct<order_id:string, cart_id:string, id_type:string, id_value:string, product:string, unified_customer_key:string, amount:double>"
@@ -28,7 +29,11 @@ def decoded(raw: DataFrame, schema: str = CDC_SCHEMA) -> DataFrame:
 
 
 def json_replay(spark: SparkSession, path: str, schema: str = CDC_SCHEMA, stream: bool = False) -> DataFrame:
-    """Change events from JSON lines; blank lines are skipped."""
+    """Change events from JSON lines; blank lines are skipped. A path that isn't there has no events; a stream makes it a folder and waits for some."""
+    if not any(c in path for c in "*?[{") and not exists(spark, path):
+        if not stream:
+            return spark.createDataFrame([], schema)
+        make_folder(spark, path)
     return (spark.readStream if stream else spark.read).schema(schema).json(path).filter("event_id IS NOT NULL")
 
 
@@ -82,16 +87,53 @@ def lateness(events: DataFrame, event_ts: str, ingest_ts: str, bounds: tuple[int
 
 
 class VersionedSink:
-    """A keyed table as versions of its rows: batch n writes absolute values to version n, so that a replayed batch overwrites itself."""
+    """A keyed table as a base and the batches since.
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path, keys
+    Batch n writes absolute values to version n, so that a replayed batch overwrites itself. Every fold batches, base and changes become a new
+    base, the rows of each key being ranked by order and then by version; a note says that the base is whole, and only then do readers use it.
+    A read thus ranks the rows of the base and of fold batches at most. The last base but one and the batches folded into it stay for readers
+    that have begun; older ones go. Rows for which forget holds are left out of a base: only for changes that arrive in order.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], fold: int = 16, order: Sequence[Column] = (), forget: Column | None = None):
+        self.spark, self.path, self.keys, self.fold, self.order, self.forget = spark, path, keys, fold, [*order, F.desc("version")], forget
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.path}/version={number}")
+        batch.write.mode("overwrite").parquet(f"{self.path}/changes/version={number}")
+        if self.fold and (number + 1) % self.fold == 0:
+            self._fold(number)
+
+    def _bases(self, below: int) -> list[int]:
+        """Versions of the bases that are whole, in order."""
+        notes = f"{self.path}/notes"
+        if not exists(self.spark, notes):
+            return []
+        return sorted(r["base"] for r in self.spark.read.schema("base long").parquet(notes).distinct().collect() if r["base"] < below)
+
+    def _ranked(self, below: int) -> DataFrame:
+        bases = self._bases(below)
+        since = bases[-1] if bases else -1
+        rows = self.spark.read.parquet(f"{self.path}/changes").filter((F.col("version") > since) & (F.col("version") <= below))
+        if bases:
+            rows = rows.unionByName(self.spark.read.parquet(f"{self.path}/base/{since}"))
+        return latest_by(rows, self.keys, self.order)
+
+    def _fold(self, number: int) -> None:
+        rows = self._ranked(number)
+        rows = rows if self.forget is None else rows.filter(~F.coalesce(self.forget, F.lit(False)))
+        rows.withColumn("version", F.col("version").cast("int")).write.mode("overwrite").parquet(f"{self.path}/base/{number}")
+        self.spark.createDataFrame([(number,)], "base long").write.mode("overwrite").parquet(f"{self.path}/notes/of={number}")
+        bases = self._bases(number)  # those before the new one
+        for old in bases[:-1]:
+            remove(self.spark, f"{self.path}/notes/of={old}")
+            remove(self.spark, f"{self.path}/base/{old}")
+        if bases:
+            for gone in range(bases[-2] + 1 if len(bases) > 1 else 0, bases[-1] + 1):
+                remove(self.spark, f"{self.path}/changes/version={gone}")
 
     def table(self) -> DataFrame:
-        return latest_by(self.spark.read.parquet(self.path), self.keys, [F.desc("version")]).drop("version")
+        rows = self._ranked(1 << 62)
+        return (rows if self.forget is None else rows.filter(~F.coalesce(self.forget, F.lit(False)))).drop("version")
 
 
 class UnresolvedSink(VersionedSink):
@@ -111,16 +153,15 @@ class UnresolvedSink(VersionedSink):
 class MergeSink(VersionedSink):
     """The newest version of each source row by (ts, seq), whatever the order of arrival; a delete stays as a mark, so that a late older version doesn't revive the row."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, ts: str, seq: str, op: str = "op"):
-        super().__init__(spark, path, [key])
-        self.order, self.op = [F.desc(ts), F.desc(seq)], op
+    def __init__(self, spark: SparkSession, path: str, key: str, ts: str, seq: str, op: str = "op", fold: int = 16):
+        super().__init__(spark, path, [key], fold, [F.desc(ts), F.desc(seq)])
+        self.op = op
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        super().__call__(latest_by(batch, self.keys, self.order), number)
+        super().__call__(latest_by(batch, self.keys, self.order[:-1]), number)
 
     def table(self) -> DataFrame:
-        rows = latest_by(self.spark.read.parquet(self.path), self.keys, [*self.order, F.desc("version")])
-        return rows.filter(F.col(self.op) != "d").drop("version")
+        return super().table().filter(F.col(self.op) != "d")
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:
@@ -129,17 +170,23 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     q.awaitTermination()
 
 
-def into_table(spark: SparkSession, stream: DataFrame, keys: list[str], mode: str = "update", rocksdb: bool = False) -> DataFrame:
-    """The final table of a stream over what is there now."""
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state on disk, with changes logged to the checkpoint."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
-    if rocksdb:
-        spark.conf.set(name, ROCKSDB)
+    spark.conf.set(name, ROCKSDB)
     try:
-        sink = VersionedSink(spark, work_folder(spark, "stream-table"), keys)
-        run_available(stream, sink, work_folder(spark, "stream-checkpoint"), mode)
+        yield
     finally:
         spark.conf.set(name, before)
+
+
+def into_table(spark: SparkSession, stream: DataFrame, keys: list[str], mode: str = "update", rocksdb: bool = False) -> DataFrame:
+    """The final table of a stream over what is there now."""
+    sink = VersionedSink(spark, work_folder(spark, "stream-table"), keys)
+    with rocksdb_state(spark) if rocksdb else nullcontext():
+        run_available(stream, sink, work_folder(spark, "stream-checkpoint"), mode)
     return sink.table()
 
 
