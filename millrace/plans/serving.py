@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import features as fe
 from ..operators import quality as dq
 from ..operators import retrieval as rt
+from ..operators import vectors as vec
+from ..sources import layers as ly
 from .base import query, table
 from .contracts import everything, outbox
 from .customers import BANDED, DRIFT, FEATURES, d05, LAPSE, PROPENSITY_SCALE, customer_base, eligible, policies, ELIGIBLE
@@ -112,6 +114,17 @@ def x08(spark, d):
     return similar(spark, d).select("query_id", "vec_id", "rank")
 
 
+@query("x08_indexed_search")
+def x08_indexed(spark, d):
+    """The same search through an index of cells: nearly the same rows, for a part of the work (see its test for the recall)."""
+    e = table(spark, d, "embeddings")
+    cells = vec.fit_cells(e, "vec_id", "embedding")
+    path = ly.work_folder(spark, "cells")
+    vec.index(e, "vec_id", "embedding", cells).write.parquet(path)
+    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vec.search(spark.read.parquet(path), queries, "vec_id", "embedding", cells).select("query_id", "vec_id", "rank")
+
+
 @query("x09_retrieval_quality", f"SELECT round(avg(hit::INT), 6) AS hit_rate, count(*) AS pairs FROM ({COSINE})")
 def x09(spark, d):
     """Share of neighbours with the query's label."""
