@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
 from ..operators import quality as dq
+from ..sources import clustering as cl
 from ..sources import layers as ly
 from .base import query, table
 from .customers import BANDED, PROPENSITY_SCALE, customer_base
@@ -122,6 +123,29 @@ def s12(spark, d):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+CURVE_BITS = 6
+_SHARES = ", ".join(f"{i}/{1 << CURVE_BITS}.0" for i in range(1, 1 << CURVE_BITS))
+_RANKS = f"""WITH b AS (SELECT quantile_disc(o_custkey, [{_SHARES}]) AS ks, quantile_disc(o_orderdate, [{_SHARES}]) AS ds FROM orders),
+r AS (SELECT o_orderkey, len(list_filter(list_distinct(ks), lambda x: x < o_custkey)) AS k, len(list_filter(list_distinct(ds), lambda x: x < o_orderdate)) AS t FROM orders, b)"""
+
+
+@query("s12_curve_key", f"{_RANKS} SELECT o_orderkey, list_sum(list_transform(range({CURVE_BITS}), lambda i: (((k >> i) & 1) * 2 + ((t >> i) & 1)) << (2 * i)))::BIGINT AS curve_key FROM r")
+def s12_curve(spark, d):
+    """Ranks of customer and date among 64 ranges each, their bits in turn."""
+    return cl.with_curve_key(table(spark, d, "orders"), ["o_custkey", "o_orderdate"], CURVE_BITS).select("o_orderkey", "curve_key")
+
+
+@query("s12_clustered_lookups", "SELECT 'customer' AS lookup, o_orderkey FROM orders WHERE o_custkey = 42 UNION ALL SELECT 'date', o_orderkey FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)")
+def s12_lookups(spark, d):
+    """A table clustered by two columns serves lookups by either."""
+    path = ly.work_folder(spark, "curve")
+    cl.cluster(spark, f"{d}/orders.parquet", path, ["o_custkey", "o_orderdate"], 16, CURVE_BITS)
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("o_orderdate")).first()[0]
+    by = lambda name, condition: rows.filter(condition).select(F.lit(name).alias("lookup"), "o_orderkey")
+    return by("customer", F.col("o_custkey") == 42).unionByName(by("date", F.col("o_orderdate") == F.lit(last)))
+
+
 @query("s20_point_lookup", "SELECT * FROM orders WHERE o_custkey = 42")
 def s20(spark, d):
     path = ly.work_folder(spark, "lookup")

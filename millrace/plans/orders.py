@@ -159,6 +159,20 @@ def x01(spark, d):
     return customer_versions(spark, d).select("o_custkey", "o_orderpriority", day("valid_from"), day("valid_to"), "is_current")
 
 
+@query("x01_dimension_batches", f"SELECT o_custkey, o_orderpriority, strftime(valid_from, '%Y-%m-%d') AS valid_from, strftime(valid_to, '%Y-%m-%d') AS valid_to, valid_to IS NULL AS is_current FROM ({VERSIONS})")
+def x01_batches(spark, d):
+    """The same versions from three batches of changes that come out of order, one of them twice."""
+    from ..operators.dimensions import Dimension
+    from ..sources import layers as ly
+
+    changes = owner_changes(spark, d)
+    dim = Dimension(spark, ly.work_folder(spark, "dimension"), "o_custkey", "ts", "o_orderkey", ["o_orderpriority"], changes.schema, buckets=8)
+    for number, part in enumerate((2, 0, 1, 1)):
+        dim.apply(changes.filter(F.col("o_orderkey") % 3 == part), min(number, 2))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return dim.table().select("o_custkey", "o_orderpriority", day("valid_from"), day("valid_to"), "is_current")
+
+
 @query("x02_dimension_overwrite", "SELECT o_custkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def x02(spark, d):
     return dq.latest_by(owner_changes(spark, d), ["o_custkey"], [F.desc("ts"), F.desc("o_orderkey")]).select("o_custkey", "o_orderpriority")
