@@ -1,10 +1,7 @@
-"""Corpus retrieval: heading sections, lexical scores through an inverted index, vectors."""
+"""Corpus retrieval: heading sections, clean chunks, exact vector search."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +13,6 @@ HEADING = r"^#{1,4}\s+(.*)$"
 CUT = 6000
 #: Queries and vectors of a cell.
 BLOCK, CHUNK = 2048, 16384
-#: Chunks that are scored at once against a block of questions.
-SLICE = 512
 
 
 def _let(value: Column, f) -> Column:
@@ -57,106 +52,6 @@ def cleaned(text: Column) -> Column:
     return F.left(F.trim(text), F.lit(CUT))
 
 
-def tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_./+-]{2,}"), F.lit(0)))
-
-
-class Lexicon:
-    """Inverted index of a block of questions: the places of those that hold a token."""
-
-    def __init__(self, ids: Iterable, token_lists: Iterable):
-        places = defaultdict(list)
-        for i, own in enumerate(token_lists):
-            for t in own:
-                places[t].append(i)
-        self.ids = np.array(list(ids), dtype=object)
-        self.places = {t: np.array(p) for t, p in places.items()}
-
-    def scores(self, chunks: pd.DataFrame) -> np.ndarray:
-        """A row for each chunk, a column for each question; 0 without a common token."""
-        out = np.zeros((len(chunks), len(self.ids)))
-        for row, heading, long, own in zip(out, chunks["h"], chunks["long"], chunks["tokens"]):
-            for t in own:
-                at = self.places.get(t)
-                if at is not None:
-                    row[at] += 5 if t in heading else 4
-            row[row > 0] += long
-        return out
-
-    def best(self, batches: Iterable[pd.DataFrame], k: int) -> pd.DataFrame:
-        """The k best chunks of each question, ties by key."""
-        kept = pd.DataFrame({"query_id": [], "key": [], "score": []})
-        for chunks, s in self._scored(batches):
-            least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else 0
-            row, column = np.nonzero((s > 0) & (s >= least))
-            now = pd.DataFrame({"query_id": column, "key": chunks["key"].to_numpy()[row], "score": s[row, column]})
-            both = pd.concat([kept, now]) if len(kept) else now
-            kept = both.sort_values(["query_id", "score", "key"], ascending=[True, False, True]).groupby("query_id").head(k)
-        return kept.assign(query_id=self.ids[kept["query_id"].to_numpy(dtype=np.int64)])
-
-    def totals(self, batches: Iterable[pd.DataFrame]) -> pd.DataFrame:
-        """Number, best and sum of the scores of each question."""
-        n, best, total = (np.zeros(len(self.ids)) for _ in range(3))
-        for _, s in self._scored(batches):
-            n, best, total = n + (s > 0).sum(axis=0), np.maximum(best, s.max(axis=0)), total + s.sum(axis=0)
-        hit = np.flatnonzero(n)
-        return pd.DataFrame({"query_id": self.ids[hit], "chunks": n[hit].astype(np.int64), "best": best[hit], "total": total[hit]})
-
-    def _scored(self, batches: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-        for batch in batches:
-            for i in range(0, len(batch), SLICE):
-                chunks = batch.iloc[i : i + SLICE]
-                yield chunks, self.scores(chunks)
-
-
-def _lexical(chunks: DataFrame, queries: DataFrame, key: str, work: Callable, schema: str, block: int, group: int) -> DataFrame:
-    """work of a lexicon and chunks, in pieces that see every pair of a question and a chunk once.
-
-    At most block questions, counted first, are sent along with the tasks, among which chunks are dealt evenly. More are dealt into blocks, chunks into groups, and each
-    pair of a block and a group is a piece of its own.
-    """
-    c = chunks.select(F.col(key).alias("key"), F.least(F.length("body") / 1200, F.lit(3.0)).alias("long"), F.lower("heading").alias("h"), tokens(F.concat_ws(" ", "heading", "body")).alias("tokens"))
-    q = queries.select("query_id", tokens(F.coalesce("question", F.lit(""))).alias("tokens"))
-    n = q.count()
-    if n <= block:
-        rows = q.collect()
-        ids, own = [r[0] for r in rows], [r[1] for r in rows]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield work(Lexicon(ids, own), batches)
-
-        # few input files would leave most cores idle
-        return c.repartition(int(c.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").mapInPandas(run, schema)
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    blocks, groups = -(-n // block), max(1, -(-c.count() // group))
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("group", every(groups))
-    c = c.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int")).withColumn("block", every(blocks))
-    cell = lambda q, c: work(Lexicon(q["query_id"], q["tokens"]), [c])
-    return q.groupBy("block", "group").cogroup(c.groupBy("block", "group")).applyInPandas(cell, schema)
-
-
-def _types(queries: DataFrame) -> str:
-    return f"query_id {queries.schema['query_id'].dataType.simpleString()}"
-
-
-def top(chunks: DataFrame, queries: DataFrame, key: str, k: int = 5, block: int = BLOCK, group: int = BLOCK) -> DataFrame:
-    """(query_id, key, score, rank): the k chunks of the highest score, ties by key, among those with a token in common.
-
-    A score is 4 for each common token, 1 for each that the heading holds, and up to 3 for length. chunks: key, heading, body; queries: query_id, question.
-    Each task keeps k chunks a question, so that nothing of the size of chunks x questions is shuffled.
-    """
-    schema = f"{_types(queries)}, key {chunks.schema[key].dataType.simpleString()}, score double"
-    out = _lexical(chunks, queries, key, lambda lexicon, batches: lexicon.best(batches, k), schema, block, group).withColumnRenamed("key", key)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def totals(chunks: DataFrame, queries: DataFrame, key: str, block: int = BLOCK, group: int = BLOCK) -> DataFrame:
-    """(query_id, chunks, best, total): number, maximum and sum of the scores that top ranks by, added up in each task first."""
-    out = _lexical(chunks, queries, key, lambda lexicon, batches: lexicon.totals(batches), f"{_types(queries)}, chunks long, best double, total double", block, group)
-    return out.groupBy("query_id").agg(F.sum("chunks").alias("chunks"), F.max("best").alias("best"), F.sum("total").alias("total"))
-
-
 def with_fallback(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, key: str, k: int = 5) -> DataFrame:
     """A query without hits gets the first k chunks."""
     first = chunks.select(key).orderBy(key).limit(k)

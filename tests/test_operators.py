@@ -14,6 +14,7 @@ from millrace.operators import contract as ct
 from millrace.operators import equipment as eq
 from millrace.operators import features as fe
 from millrace.operators import identity as idy
+from millrace.operators import lexical as lx
 from millrace.operators import orders as od
 from millrace.operators import quality as dq
 from millrace.operators import retrieval as rt
@@ -270,11 +271,11 @@ def test_sections_and_cleaning(spark):
 def test_fallback_for_queries_without_hits(spark):
     chunks = spark.createDataFrame([("c1", "H", "apple pie"), ("c2", "Pie", "cake")], "c string, heading string, body string")
     q = spark.createDataFrame([(1, "pie"), (2, "?"), (3, "zebra")], "query_id long, question string")
-    out = rt.with_fallback(rt.top(chunks, q, "c"), q, chunks, "c", 2).collect()
+    out = rt.with_fallback(lx.top(chunks, q, "c"), q, chunks, "c", 2).collect()
     assert [(r.c, r.rank) for r in out if r.query_id == 1][0] == ("c2", 1) and {r.query_id for r in out} == {1, 2, 3}
 
 
-def test_lexical_top_equals_brute_force(spark):
+def test_lexical_top_equals_brute_force(spark, tmp_path):
     import random
     import re
 
@@ -296,10 +297,15 @@ def test_lexical_top_equals_brute_force(spark):
             want[i, n] = (key, s)
         if hits:
             sums[i] = (len(hits), max(hits)[0], round(sum(s for s, _ in hits) * 1200))
-    for block, group in ((2048, 2048), (3, 100)):
-        assert {(x.query_id, x.rank): (x.c, x.score) for x in rt.top(chunks, q, "c", 4, block, group).collect()} == want
-        assert {x.query_id: (x.chunks, x.best, round(x.total * 1200)) for x in rt.totals(chunks, q, "c", block, group).collect()} == sums
-    assert rt.top(chunks.limit(0), q, "c").count() == 0 and rt.top(chunks, q.limit(0), "c").count() == 0
+    ranks = lambda found: {(x.query_id, x.rank): (x.c, x.score) for x in found.collect()}
+    added = lambda found: {x.query_id: (x.chunks, x.best, round(x.total * 1200)) for x in found.collect()}
+    assert ranks(lx.top(chunks, q, "c", 4)) == want and added(lx.totals(chunks, q, "c")) == sums
+    for size, first, share in ((256, 2, 0.8), (10, 1, 0.5), (3, 0, 0.8), (5, 1, 1.0)):
+        index = lx.build(chunks, "c", str(tmp_path / f"i{size}"), size)
+        assert ranks(lx.search(index, q, 4, first, share)) == want
+    assert added(lx.score_totals(index, q)) == sums
+    assert lx.top(chunks.limit(0), q, "c").count() == 0 and lx.top(chunks, q.limit(0), "c").count() == 0
+    assert lx.search(lx.build(chunks.limit(0), "c", str(tmp_path / "none")), q).count() == 0 and lx.search(index, q.limit(0)).count() == 0
 
 
 def test_sections_of_odd_texts(spark):
