@@ -127,16 +127,16 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
-def _templates(rows, min_docs=3):
-    """The tree by brute force: (document, line number) of lines whose template recurs. A document is (id, text)."""
+def _templates(rows, min_docs=3, groups=None):
+    """The tree by brute force: (document, line number) of lines whose template recurs. A document is (id, text); groups has the group of an id."""
     unit = lambda key: key[0] if key[0] is not None else key[1]
-    lines, total = [], defaultdict(int)
+    counted = lambda key: (groups or {}).get(key[0], unit(key))
+    lines = []
     for key in {(r[0], r[1] or "") for r in rows}:
         for n, line in enumerate(key[1].split("\n")):
             own = tuple(words(line))
             if own:
                 lines.append((key, n, own, tuple("<*>" if re.search("[0-9]", x) else x for x in own)))
-                total[key] += len(own)
     docs, variants = defaultdict(set), defaultdict(set)
     for key, _, own, t in lines:
         leaf = (len(t), t[: line_dedup.DEPTH])
@@ -155,35 +155,9 @@ def _templates(rows, min_docs=3):
         return (leaf, fixed) if len(fixed) >= max(line_dedup.MIN_CONSTANT, line_dedup.CONSTANT_SHARE * len(t)) else (leaf, own, "line")
 
     lines = [(key, n, template(own, t), len(t)) for key, n, own, t in lines]
-    seen, has = defaultdict(set), defaultdict(list)
-    for key, n, t, size in lines:
+    seen = defaultdict(set)
+    for key, _, t, _ in lines:
         seen[t].add(key)
-        has[key].append((t, size))
-    largest = defaultdict(int)
-    for key, w in total.items():
-        largest[key[0]] = max(largest[key[0]], w)
-    of_id = defaultdict(set)
-    for t, keys in seen.items():
-        if len({unit(k) for k in keys}) > 1:
-            for k in keys:
-                of_id[k[0]].add(t)
-    source = {}
-    for key in total:
-        first = defaultdict(int)
-        for t, size in has[key]:
-            ids = [k[0] for k in seen[t] if k[0] is not None]
-            if t in of_id[key[0]] and ids and (key[0] is None or key[0] > min(ids)):
-                first[min(ids)] += size
-        for c in sorted(first):
-            common = sum(size for t, size in has[key] if t in of_id[key[0]] and t in of_id[c])
-            if first[c] >= line_dedup.CANDIDATE_SHARE * total[key] and common >= line_dedup.COPY_SHARE * max(total[key], largest[c]):
-                source[key] = c
-                break
-    above = defaultdict(list)
-    for key, c in source.items():
-        if key[0] is not None:
-            above[key[0]].append(c)
-    counted = lambda key: min(above[source[key]], default=source[key]) if key in source else unit(key)
 
     def need(n):
         return line_dedup.LONG_DOCS if n >= line_dedup.LONG_TOKENS else min_docs * line_dedup.SHORT_FACTOR ** max(0, line_dedup.SHORT_TOKENS - n)
@@ -205,7 +179,6 @@ def _with_boilerplate(spark):
         if i % 4:
             lines[i % 9] = prose(r, 10)
         extra.append((2000 + i, "\n".join(lines), "en", "src1", None, None, None, None, None, None))
-    extra += [(3000 + i, prose(r, 200) + "\n" + passage, "en", "src1", None, None, None, None, None, None) for i in range(2)]
     extra += [(4000 + i, prose(r, 40) + "\n" + passage + "\nRead more", "en", "src1", None, None, None, None, None, None) for i in range(50)]
     return df.unionByName(spark.createDataFrame(extra, df.schema)), rows + extra
 
@@ -226,16 +199,43 @@ def test_line_templates_generalise(spark):
     out = {r.doc_id: r for r in line_dedup.drop_templates(df).collect()}
     before = {r[0]: r[1] for r in rows}
     assert "Posted by" not in out[1001].text and "Copyright" not in out[1001].text and "short one" in out[1000].text
-    assert all(out[i].text == before[i] for i in range(2000, 2040))  # a group of copies counts once
-    assert all(out[i].text == before[i].split("\n")[0] for i in (3000, 3001))  # a long passage in few documents
-    assert not any("Read more" in out[i].text or out[i].text.count("\n") for i in range(4000, 4050))  # also where it is most of the text
+    assert all(out[i].text == before[i].split("\n")[0] for i in range(4000, 4050))  # also where it is most of the text
+    assert out[2000].text == ""  # every document counts, those of a group too
     assert all(out[1000 + i].text.endswith(f"{i} {i + 1} {i * 7} {i} 12 {i}") for i in range(30))  # numbers alone are no template
     assert out[1001].n_chars == len(out[1001].text) and line_dedup.drop_templates(df).columns == df.columns
 
 
-def test_every_document_counts_without_copies(spark):
-    out = line_dedup.drop_templates(_with_boilerplate(spark)[0], copy_share=1.1).filter("doc_id = 2000").collect()
-    assert out[0].text == ""
+@pytest.mark.parametrize("own,shared", [(35, 60), (45, 60), (12, 20), (100, 60), (5, 60)])
+def test_shared_passages_go_whatever_else_a_document_has(spark, own, shared):
+    r = random.Random(own)
+    passage = prose(r, shared)
+    texts = [prose(r, own) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t + "\n" + passage) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {x.doc_id: x.text for x in line_dedup.drop_templates(docs).collect()} == dict(enumerate(texts))
+
+
+def test_passages_of_two_documents(spark):
+    r = random.Random(7)
+    passage = prose(r, 60)
+    docs = spark.createDataFrame([(i, prose(r, 80) + "\n" + passage) for i in range(2)], "doc_id long, text string")
+    assert not any(passage in x.text for x in line_dedup.drop_templates(docs).collect())
+    assert all(passage in x.text for x in line_dedup.drop_templates(docs, long_docs=3).collect())
+    assert all(passage in x.text for x in line_dedup.drop_templates(docs, long_tokens=61).collect())
+
+
+def test_short_lines_need_more_documents_by_the_given_rule(spark):
+    docs = spark.createDataFrame([(i, f"{prose(random.Random(i), 30)}\nShare this page") for i in range(11)], "doc_id long, text string")
+    left = lambda **how: sum("Share" in x.text for x in line_dedup.drop_templates(docs, **how).collect())
+    assert left() == 11 and left(short_factor=3) == 0 and left(short_tokens=3) == 0
+
+
+def test_groups_of_near_duplicates_count_once(spark):
+    df, rows = _with_boilerplate(spark)
+    groups = {i: 2000 for i in range(2000, 2040)}
+    recurring = _templates(rows, groups=groups)
+    frame = spark.createDataFrame(list(groups.items()), "doc_id long, component_id long")
+    got = {((r.doc.doc_id, r.doc.text or ""), n) for r in line_dedup.with_templates(df, groups=frame).collect() for n in r.recurring}
+    assert got == recurring and not any(2000 <= (k[0] or 0) < 2040 for k, _ in recurring) and any((k[0] or 0) >= 4000 for k, _ in recurring)
 
 
 def test_line_templates_of_nothing(spark):

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from millrace.llm import bpe, line_dedup, mixing, quality, simhash
+from millrace.llm import bpe, line_dedup, mixing, quality, similar, simhash
 from millrace.llm.common import staged
 from tests.oracle import SF
 
@@ -41,7 +41,8 @@ def test_run_equals_stages(spark):
 
     run = corpus_pipeline.run(spark, SF).collect()
     docs = read(spark, SF, "documents")
-    docs = line_dedup.drop_templates(quality.keep_good(docs))
+    docs = quality.keep_good(docs)
+    docs = line_dedup.drop_templates(docs, groups=similar.similar_documents(docs))
     docs = mixing.mixed(simhash.keep_one(staged(docs, "t")), max_epochs=1)
     own = bpe.load(bpe.default_vocabulary())
     assert sorted((r.doc_id, r.n_tokens) for r in run) == sorted((r.doc_id, len(own.encode(r.text or "")) // 4) for r in docs.collect())
@@ -91,8 +92,8 @@ def _plain_quality(rows):
     return [r for r, m in made if not m[3] and not (r[2] in refs and strays(m, refs[r[2]]))]
 
 
-def _plain_near(rows):
-    """Rows with the smallest id of each group that exact Jaccard similarities of 0.8 link, and those without an id."""
+def _plain_groups(rows):
+    """The smallest id of the group of each id; exact Jaccard similarities of 0.8 link."""
     named = [r for r in rows if r[0] is not None]
     sets = []
     for r in named:
@@ -114,7 +115,13 @@ def _plain_near(rows):
     least = defaultdict(lambda: math.inf)
     for i, r in enumerate(named):
         least[find(i)] = min(least[find(i)], r[0])
-    return list({r[0]: r for i, r in enumerate(named) if r[0] == least[find(i)]}.values()) + [r for r in rows if r[0] is None]
+    return {r[0]: least[find(i)] for i, r in enumerate(named)}
+
+
+def _plain_near(rows):
+    """Rows with the smallest id of each group, and those without an id."""
+    group = _plain_groups(rows)
+    return list({r[0]: r for r in rows if r[0] is not None and r[0] == group[r[0]]}.values()) + [r for r in rows if r[0] is None]
 
 
 def test_pipeline_equals_plain_versions(spark):
@@ -133,7 +140,7 @@ def test_pipeline_equals_plain_versions(spark):
     got = _through(spark, df)[1].collect()
 
     rows = _plain_quality(rows)
-    gone = _templates(rows)
+    gone = _templates(rows, groups=_plain_groups(rows))
     rows = [(*x[:1], None if x[1] is None else "\n".join(line for n, line in enumerate(x[1].split("\n")) if ((x[0], x[1]), n) not in gone), *x[2:]) for x in rows]
     assert not any("friendly staff" in x[1] for x in rows)
     rows = _plain_near(rows)
