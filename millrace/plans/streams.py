@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import layers as ly
-from ..streaming import cdc, merge
+from ..streaming import cdc, late, merge, segments
 from .base import query, table
 from .customers import FEATURES, customer_base
 
@@ -130,6 +130,22 @@ def t10(spark, d):
     return cdc.lateness(rows, "event_ts", "ingest_ts")
 
 
+LATE = "WITH b AS (SELECT event_id, epoch_us(ts) AS us, event_id % 3 AS batch FROM events), m AS (SELECT n.batch, max(b.us) AS latest FROM (SELECT unnest(range(3)) AS batch) n LEFT JOIN b ON b.batch < n.batch GROUP BY 1) SELECT event_id, coalesce(us < latest - 86400000000, FALSE) AS late FROM b JOIN m USING (batch)"
+
+
+@query("t10_late_rows", LATE)
+def t10_late(spark, d):
+    """Events come in three batches, each through a restart: those a day behind the latest event before their batch are kept apart."""
+    rows = table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    log = ly.work_folder(spark, "log")
+    sink, checkpoint = late.LateSplit(spark, ly.work_folder(spark, "late"), "ts", 86400), ly.work_folder(spark, "checkpoint")
+    for batch in range(3):
+        segments.append(rows.filter(F.col("event_id") % 3 == batch), log, ly.work_folder(spark, "staging"))
+        events = segments.decoded_log(segments.log(spark, log), "event_id long, us long")
+        cdc.run_available(events.select("event_id", F.timestamp_micros("us").alias("ts")), sink, checkpoint, "append")
+    return sink.on_time().select("event_id", F.lit(False).alias("late")).unionByName(sink.late().select("event_id", F.lit(True).alias("late")))
+
+
 @query("t11_batch_stream_view", f"SELECT customer, monetary_30d IS NOT NULL AS in_batch, orders IS NOT NULL AS in_stream FROM ({SERVED})")
 def t11(spark, d):
     return t07(spark, d).select("customer", F.col("monetary_30d").isNotNull().alias("in_batch"), F.col("orders").isNotNull().alias("in_stream"))
@@ -158,3 +174,16 @@ def s17(spark, d):
     records = spark.readStream.text(_replayed(spark, d)).select(F.encode("value", "UTF-8").alias("value"))
     cdc.run_available(cdc.decoded(records).select("event_id", F.col("table").alias("table_name")), sink, ly.work_folder(spark, "checkpoint"), "append")
     return sink.table()
+
+
+@query("s17_offset_source", f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, event_id::VARCHAR AS event_id FROM ({KEYED})")
+def s17_offsets(spark, d):
+    """Events from log segments by offset, in two runs; the second takes up where the first stopped. A place is the rank of an offset."""
+    log, checkpoint = ly.work_folder(spark, "log"), ly.work_folder(spark, "checkpoint")
+    rows = change_events(spark, d, False).select("event_id", F.col("event_id").cast("long").alias("n"))
+    half = rows.agg(F.percentile_approx("n", 0.5)).first()[0]
+    sink = cdc.VersionedSink(spark, ly.work_folder(spark, "topic"), ["offset"])
+    for part in (F.col("n") <= half, F.col("n") > half):
+        segments.append(rows.filter(part).repartitionByRange(2, "n").sortWithinPartitions("n").select("event_id"), log, ly.work_folder(spark, "staging"))
+        cdc.run_available(segments.decoded_log(segments.log(spark, log), "event_id string"), sink, checkpoint, "append")
+    return sink.table().select(F.col("offset").alias("place"), "event_id")

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.streaming import cdc, merge
+from millrace.streaming import cdc, late, merge, segments
 
 VERSION = "k string, ts timestamp, seq long, op string, v double"
 START = datetime(2026, 1, 1)
@@ -88,3 +88,75 @@ def test_missing_replay_has_no_events(spark, tmp_path):
     spark.createDataFrame([("1",)], "event_id string").write.mode("append").json(str(tmp_path / "later"))
     cdc.run_available(stream, sink, str(tmp_path / "check"))
     assert [r.event_id for r in sink.table().collect()] == ["1"]
+
+
+def test_offset_source_reads_each_event_once_over_restarts(spark, tmp_path):
+    log, check = str(tmp_path / "log"), str(tmp_path / "check")
+    sink = cdc.VersionedSink(spark, str(tmp_path / "t"), ["offset"])
+    run = lambda: cdc.run_available(segments.decoded_log(segments.log(spark, log), "k long"), sink, check, "append")
+    run()  # no folder yet: no events
+    assert segments.log(spark, log, stream=False).count() == 0
+    for n, parts in enumerate((3, 1, 2)):
+        rows = spark.range(n * 100, n * 100 + 100).select(F.col("id").alias("k")).repartition(parts)
+        segments.append(rows, log, str(tmp_path / f"staging{n}"))
+        run()
+        run()  # nothing new
+    got = sink.table().collect()
+    assert sorted(r.offset for r in got) == list(range(300)) and sorted(r.k for r in got) == list(range(300))
+    batches = spark.read.parquet(str(tmp_path / "t" / "changes")).groupBy("version").count().collect()
+    assert sorted(r["count"] for r in batches if r["count"]) == [100, 100, 100]
+    assert segments.log(spark, log, stream=False).count() == 300
+
+
+def test_a_segment_that_grew_is_read_on(spark, tmp_path):
+    log, check = tmp_path / "log", str(tmp_path / "check")
+    log.mkdir()
+    first = log / f"{0:020d}.jsonl"
+    sink = cdc.VersionedSink(spark, str(tmp_path / "t"), ["offset"])
+    run = lambda: cdc.run_available(segments.log(spark, str(log)), sink, check, "append")
+    first.write_text("a\nb\n")
+    run()
+    first.write_text("a\nb\nc\n")
+    (log / f"{3:020d}.jsonl").write_text("d\n")
+    (log / "notes.txt").write_text("not a segment\n")
+    run()
+    assert sorted(map(tuple, sink.table().collect())) == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+
+
+def test_on_time_and_late_rows_are_all_rows(spark, tmp_path):
+    log, check = str(tmp_path / "log"), str(tmp_path / "check")
+    at = lambda s: START + timedelta(seconds=s)
+    batches = [[(1, at(0)), (2, at(100))], [(3, at(95)), (4, at(10)), (5, at(300)), (6, None)], [(7, at(289)), (8, at(290)), (9, at(50))]]
+    sink = late.LateSplit(spark, str(tmp_path / "late"), "ts", 10)
+    for n, rows in enumerate(batches):
+        segments.append(spark.createDataFrame(rows, "k long, ts timestamp"), log, str(tmp_path / f"s{n}"))
+        cdc.run_available(segments.decoded_log(segments.log(spark, log), "k long, ts timestamp"), sink, check, "append")
+    assert {r.k for r in sink.late().collect()} == {4, 7, 9} and {r.k for r in sink.on_time().collect()} == {1, 2, 3, 5, 6, 8}
+    last = spark.createDataFrame(batches[2], "k long, ts timestamp")
+    sink(last, 2)  # a replay parts the batch as before
+    assert {r.k for r in sink.late().collect()} == {4, 7, 9} and sink.on_time().count() == 6
+
+
+def test_listener_counts_what_spark_drops(spark, tmp_path):
+    import time
+
+    path, listener = str(tmp_path / "in"), late.DroppedRows()
+    sums = cdc.VersionedSink(spark, str(tmp_path / "t"), ["w"])
+    spark.streams.addListener(listener)
+    try:
+        every = 0
+        for seconds in ([0, 1000], [2000, 5], [3000], [7, 28, 2990], [4000]):
+            every += len(seconds)
+            rows = spark.createDataFrame([(START + timedelta(seconds=s),) for s in seconds], "ts timestamp")
+            rows.coalesce(1).write.mode("append").json(path)
+            stream = spark.readStream.schema("ts timestamp").json(path).withWatermark("ts", "60 seconds")
+            counts = stream.groupBy(F.window("ts", "10 seconds").alias("w")).count()
+            q = counts.writeStream.queryName("counted").outputMode("update").foreachBatch(sums).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+            q.awaitTermination()
+        deadline = time.time() + 20
+        counted = sums.table().agg(F.sum("count")).first()[0]
+        while counted + listener.dropped["counted"] < every and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.dropped["counted"] >= 2 and counted + listener.dropped["counted"] == every
