@@ -32,7 +32,29 @@ PARTS = (
     "position process profile project property provider proxy query queue record region register remote render report request resource response result return role route row rule schema scope script search select server service "
     "session set size source start state status storage store stream string style system table tag target task template test text thread time timeout token tree type update user value version view window worker write"
 ).split()
-_SPAN = "array<struct<start:int,kind:int,end:int>>"
+_ONE_SPAN = "struct<start:int,kind:int,end:int>"
+_SPAN = f"array<{_ONE_SPAN}>"
+
+
+def _scan(items: Column, kind: str, start: Column, step) -> Column:
+    """What step(state, item), a struct (state, out), gives for each item in turn, out being of the given type.
+
+    Items are taken in blocks of the square root of their number, each with an array of its own: appending to one array would copy all before it
+    for every item, and so grow with the square of the items.
+    """
+    block = F.ceil(F.sqrt(F.size(items))).cast("int")
+
+    def inner(state: Column, part: Column) -> Column:
+        grow = lambda acc, x: let(step(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+        return F.aggregate(part, F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), grow)
+
+    def outer(acc: Column, i: Column) -> Column:
+        part = F.slice(items, i * block + 1, block)
+        return let(inner(acc["state"], part), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int"))
+    whole = F.aggregate(blocks, F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), outer, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.size(items) == 0, F.array().cast(f"array<{kind}>")).otherwise(whole)
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, keep=None) -> Column:
@@ -40,22 +62,40 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
+    def step(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
+        end = start + F.length(x["m"])
+        good = F.length(x["g"]) >= least
+        if keep is not None:
+            good = good & keep(x["m"])
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+        return F.struct(end.alias("state"), F.when(good, span).alias("out"))
+
     def placed(found: Column) -> Column:
         parts = F.arrays_zip(found.alias("m"), measured.alias("g"), F.split(text, pattern, -1).alias("gap"))
-        parts = F.filter(parts, lambda x: x["m"].isNotNull())
+        spans = lambda p: _scan(p, _ONE_SPAN, F.lit(0), step)
+        return F.filter(let(F.filter(parts, lambda x: x["m"].isNotNull()), spans), lambda x: x.isNotNull())
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            end = start + F.length(x["m"])
-            good = F.length(x["g"]) >= least
-            if keep is not None:
-                good = good & keep(x["m"])
-            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-            return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    return let(matches, lambda m: F.when(F.size(m) == 0, F.array().cast(_SPAN)).otherwise(placed(m)))
 
-        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans")), step, lambda acc: acc["spans"])
 
-    return let(matches, lambda m: F.when(F.size(m) == 0, F.array().cast(_SPAN)).otherwise(placed(m)))
+def _apart(spans: Column, base: Column) -> Column:
+    """Those of spans that overlap no base span: one pass in order of the starts of base and the ends of spans.
+
+    Whatever base span could overlap comes before, so that the furthest end of those decides.
+    """
+    tagged = F.concat(
+        F.transform(spans, lambda x: F.struct(x["end"].alias("place"), F.lit(0).alias("is_base"), x.alias("span"))),
+        F.transform(base, lambda x: F.struct(x["start"].alias("place"), F.lit(1).alias("is_base"), x.alias("span"))),
+    )
+
+    def step(reach: Column, x: Column) -> Column:
+        own = x["is_base"] == 1
+        state = F.when(own, F.greatest(reach, x["span"]["end"])).otherwise(reach)
+        return F.struct(state.alias("state"), F.when(~own & (x["span"]["start"] >= reach), x["span"]).alias("out"))
+
+    scanned = let(F.array_sort(tagged), lambda t: _scan(t, _ONE_SPAN, F.lit(0), step))
+    return F.filter(scanned, lambda x: x.isNotNull())
 
 
 def _code(c: Column) -> Column:
@@ -127,7 +167,8 @@ def find_secrets(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", t
     """doc_id, counts of each base kind, and arrays base and spans of (start, kind, end), ends exclusive.
 
     A candidate that touches a base span is not reported again. Null text is empty and has no spans; repeated rows give repeated rows,
-    no rows none. Rows stay where they are. Texts of any length are matched whole.
+    no rows none. Rows stay where they are. Texts of any length are matched whole, in time that grows little faster than
+    their matches (see _scan).
     """
     text = text_or_empty(text_col)
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
@@ -139,7 +180,7 @@ def find_secrets(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", t
     )
     base = F.array_sort(F.concat(*[F.col(f"f.{k}") for k in found]))
     rows = rows.select("doc_id", *[F.size(f"f.{k}").cast("long").alias(f"n_{k}") for k in found], base.alias("base"), F.col("f.markov").alias("markov"))
-    apart = F.filter("markov", lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    apart = F.when((F.size("markov") == 0) | (F.size("base") == 0), F.col("markov")).otherwise(_apart(F.col("markov"), F.col("base")))
     return rows.withColumn("spans", F.array_sort(F.concat("base", apart))).drop("markov")
 
 

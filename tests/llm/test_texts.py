@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import bpe, license_scan, quality, secrets
 
@@ -224,3 +225,35 @@ def test_license_scan_cases(spark):
     out = license_scan.scan(df).collect()
     assert len(out) == len(rows) and all(r.finds == [] for r in out)
     assert license_scan.scan(empty(spark)).count() == 0
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    """5 MB of hex words: every second one is too short, some stand in an assignment."""
+    import time
+
+    words_ = [hashlib.sha256(str(i).encode()).hexdigest()[: 40 if i % 2 else 9] for i in range(190_000)]
+    for i in range(1, len(words_), 5000):
+        words_[i] = f"token={words_[i]}"
+    text = " ".join(words_)
+    assert len(text) > 4_700_000
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    ratios = [0.0] * 67 * 67
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.find_secrets(docs, ratios).collect()}
+    assert time.perf_counter() - began < 60
+    starts = [m.start() for m in re.finditer("[0-9a-f]{16,}", text)]
+    assert [s.start for s in got[1].base if s.kind == 2] == starts and got[1].n_hex == len(starts) and got[1].n_assign == 38 and got[2].base == []
+
+
+def test_markov_spans_that_touch_or_cover_base_spans(spark):
+    """Overlaps decided in one pass equal those of all pairs."""
+    r = random.Random(3)
+    span = "array<struct<start:int,kind:int,end:int>>"
+    rows = []
+    for i in range(60):
+        make = lambda kind: sorted((a, kind, a + r.randint(1, 12)) for a in r.sample(range(120), r.randint(0, 9)))
+        rows.append((i, make(3), make(r.randrange(3))))
+    df = spark.createDataFrame(rows, f"i int, m {span}, b {span}")
+    got = {x.i: [tuple(s) for s in x.out] for x in df.select("i", secrets._apart(F.col("m"), F.col("b")).alias("out")).collect()}
+    for i, m, b in rows:
+        assert sorted(got[i]) == [s for s in m if not any(t[0] < s[2] and s[0] < t[2] for t in b)]
