@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import baselines as bl
 from ..operators import equipment as eq
 from ..operators import quality as dq
+from ..sources import layers as ly
 from .base import query, table
 
 
@@ -120,10 +122,41 @@ w AS (SELECT *, count(*) OVER b AS n_before, avg(oee) OVER b AS om, stddev_pop(o
 l AS (SELECT * FROM w WHERE rn = 1 AND n_before >= 3)"""
 
 
-@query("w01_latest_against_baseline", f"{OEE}{LATEST} SELECT machine_number, shift_date, n_before, round(dm, 3) AS downtime_mean, round(ds, 3) AS downtime_std FROM l")
+MOMENTS = f"{OEE}{LATEST} SELECT machine_number, shift_date, n_before, round(om, 6) AS oee_mean, round(os, 6) AS oee_std, round(dm, 3) AS downtime_mean, round(ds, 3) AS downtime_std FROM l"
+
+
+def grown_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """Baselines from three batches of days, the last of which comes twice."""
+    path, daily = ly.work_folder(spark, "baselines"), ly.work_folder(spark, "daily")
+    oee(spark, d).write.parquet(daily)
+    rows = spark.read.parquet(daily)
+    first, second = (r.isoformat() for r in rows.agg(F.percentile_approx("shift_date", F.array(F.lit(0.5), F.lit(0.9)))).first()[0])
+    base = bl.Baselines(spark, path, ["site_code", "machine_number"], "shift_date", ["oee", "downtime_minutes"])
+    day = F.col("shift_date")
+    for number, part in ((0, day <= first), (1, (day > first) & (day <= second)), (2, day > second), (2, day > second)):
+        base.update(rows.filter(part), number)
+    return base.latest()
+
+
+def rounded_moments(rows: DataFrame) -> DataFrame:
+    means = [F.round("oee_mean", 6).alias("oee_mean"), F.round("oee_std", 6).alias("oee_std"), F.round("downtime_minutes_mean", 3).alias("downtime_mean"), F.round("downtime_minutes_std", 3).alias("downtime_std")]
+    return rows.select("machine_number", "shift_date", "n_before", *means)
+
+
+@query("w01_latest_against_baseline", MOMENTS)
 def w01(spark, d):
-    rows = eq.latest_against_baseline(oee(spark, d))
-    return rows.select("machine_number", "shift_date", "n_before", F.round("downtime_minutes_mean", 3).alias("downtime_mean"), F.round("downtime_minutes_std", 3).alias("downtime_std"))
+    return rounded_moments(eq.latest_against_baseline(oee(spark, d)))
+
+
+@query("w01_grown_baselines", MOMENTS)
+def w01_grown(spark, d):
+    """The same latest days and moments without a look at the days before the last batch."""
+    return rounded_moments(grown_baselines(spark, d))
+
+
+@query("n03_grown_alerts", f"{OEE}{LATEST} SELECT machine_number, shift_date, 'oee' AS metric, 'high' AS severity FROM l WHERE (oee - om) / CASE WHEN os = 0 THEN 0.01 ELSE os END < -0.5 UNION ALL SELECT machine_number, shift_date, 'downtime_minutes', 'medium' FROM l WHERE (downtime_minutes - dm) / CASE WHEN ds = 0 THEN 1.0 ELSE ds END > 0.5")
+def n03_grown(spark, d):
+    return eq.alerts(grown_baselines(spark, d), -0.5, 0.5).select("machine_number", "shift_date", "metric", "severity")
 
 
 @query("n03_equipment_alerts", f"{OEE}{LATEST} SELECT machine_number, shift_date, 'oee' AS metric, 'high' AS severity FROM l WHERE (oee - om) / CASE WHEN os = 0 THEN 0.01 ELSE os END < -0.5 UNION ALL SELECT machine_number, shift_date, 'downtime_minutes', 'medium' FROM l WHERE (downtime_minutes - dm) / CASE WHEN ds = 0 THEN 1.0 ELSE ds END > 0.5")

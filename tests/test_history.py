@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import orders as od
+from millrace.operators.baselines import Baselines
 from millrace.operators.dimensions import Dimension
 from millrace.sources import clustering as cl
 
@@ -141,3 +142,34 @@ def test_curve_of_an_empty_table(spark):
     assert cl.with_curve_key(df, ["a", "b"]).count() == 0
     with pytest.raises(ValueError):
         cl.curve_key([F.lit(1)] * 8, 8)
+
+
+def moments(values):
+    known = [v for v in values if v is not None]
+    if not known:
+        return None, None
+    mean = sum(known) / len(known)
+    return mean, (sum((v - mean) ** 2 for v in known) / len(known)) ** 0.5
+
+
+@pytest.mark.parametrize("seed,cuts", [(1, (20,)), (2, (5, 6, 7, 30)), (3, (1, 2, 3))])
+def test_grown_baselines_equal_all_days_at_once(spark, tmp_path, seed, cuts):
+    r = random.Random(seed)
+    days = {(k, n): (r.random() * 5 if r.random() < 0.9 else None, float(r.choice((0, 7)))) for k in range(7) for n in range(40) if r.random() < (0.1 if k == 6 else 0.6)}
+    base = Baselines(spark, str(tmp_path), ["k"], "day", ["a", "b"])
+    with pytest.raises(ValueError):
+        base.latest()
+    edges = [0, *cuts, 40]
+    for number, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        rows = [(k, n, *v) for (k, n), v in days.items() if lo <= n < hi]
+        for _ in range(2 if number else 1):
+            base.update(spark.createDataFrame(rows, "k long, day int, a double, b double").repartition(3), number)
+    want = {}
+    for k in range(7):
+        own = sorted(n for kk, n in days if kk == k)
+        if len(own) > 3:
+            want[k] = (own[-1], len(own) - 1, *days[k, own[-1]], *moments([days[k, n][0] for n in own[:-1]]), *moments([days[k, n][1] for n in own[:-1]]))
+    got = {x.k: (x.day, x.n_before, x.a, x.b, x.a_mean, x.a_std, x.b_mean, x.b_std) for x in base.latest().collect()}
+    assert set(got) == set(want)
+    for k in want:
+        assert all(g is w is None or abs(g - w) < 1e-9 for g, w in zip(got[k], want[k]))
