@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.normalize import ratio
 
 
+# fixed values: the published reason codes
+LABEL, ABOVE_P99, AMOUNT_Z = "synthetic_fraud_label", "above_product_p99", "amount_z_score_high"
+HIGH_RISK = "high_risk_score"
+OUTLIERS = {"monetary_30d": "monetary_outlier", "tx_count_30d": "transaction_count_outlier", "velocity_7d": "velocity_outlier"}
+
+
 def amount_statistics(txns: DataFrame, exact: bool = False, accuracy: int = 10000) -> DataFrame:
     """Mean, sample deviation (0 for one row) and 99th percentile of each product.
 
@@ -21,8 +27,8 @@ def transaction_anomalies(txns: DataFrame, stats: DataFrame, z_min: float = 3.0)
     """Label first, then above the product's p99, then z. stats has a row for each product; a product without one has labels only."""
     rows = txns.join(stats, "product", "left")
     z = F.when(F.col("std") > 0, (F.col("amount") - F.col("mean")) / F.col("std")).otherwise(0.0)
-    kind = F.when(F.col("label") == 1, "fraud_label").when(F.col("amount") > F.col("p99"), "above_product_p99").when(z >= z_min, "amount_z_score")
-    rows = rows.select("txn_id", "product", "amount", F.round(z, 4).alias("z"), kind.alias("anomaly_type")).filter("anomaly_type IS NOT NULL")
+    kind = F.when(F.col("label") == 1, LABEL).when(F.col("amount") > F.col("p99"), ABOVE_P99).when(z >= z_min, AMOUNT_Z)
+    rows = rows.select("txn_id", "product", "amount", z.alias("z"), kind.alias("anomaly_type")).filter("anomaly_type IS NOT NULL")
     return rows.withColumn("anomaly_id", F.sha2(F.concat_ws("|", F.lit("txn"), F.col("txn_id").cast("string"), "anomaly_type"), 256))
 
 
@@ -35,10 +41,10 @@ def metric_statistics(features: DataFrame, metrics: list[str]) -> dict[str, tupl
 
 def customer_anomalies(features: DataFrame, risk_min: float = 0.85, z_min: float = 3.0) -> DataFrame:
     """Risk first, then the z score of spend, count and velocity; statistics enter as literals."""
-    metrics = ["monetary_30d", "tx_count_30d", "velocity_7d"]
-    stats = metric_statistics(features, metrics)
+    stats = metric_statistics(features, list(OUTLIERS))
     z = {m: ratio(F.col(m) - F.lit(mean), F.lit(std)) for m, (mean, std) in stats.items()}
-    kind = F.when(F.col("risk_score") >= risk_min, "high_risk_score")
-    for m in metrics:
-        kind = kind.when(z[m] >= z_min, f"{m}_z_score")
-    return features.select("customer", "risk_score", *metrics, kind.alias("anomaly_type")).filter("anomaly_type IS NOT NULL")
+    kind = F.when(F.col("risk_score") >= risk_min, HIGH_RISK)
+    for m, reason in OUTLIERS.items():
+        kind = kind.when(z[m] >= z_min, reason)
+    scores = [F.round(z[m], 3).alias(f"{m}_z") for m in OUTLIERS]
+    return features.select("customer", "risk_score", *OUTLIERS, *scores, kind.alias("anomaly_type")).filter("anomaly_type IS NOT NULL")

@@ -268,6 +268,24 @@ def d15(spark, d):
     return a28(spark, d).select(F.lit("propensity").alias("model"), F.lit("v1").alias("version"), "rows_scored", F.col("precision_at_20").alias("high_share"), F.lit(0.81).alias("stated_auc"))
 
 
+RUN = "SELECT '{v}' AS version, count(*) AS rows_scored, round(avg((band = 'high')::INT), 6) AS high_share FROM ({b}) WHERE {w}"
+
+
+@query("d15_model_runs", RUN.format(v="v2", b=BANDED, w="customer % 2 = 0") + " UNION ALL " + RUN.format(v="v1", b=BANDED, w="TRUE"))
+def d15_runs(spark, d):
+    """A run of all customers is recorded, then one of another version over half of them, then the first again, which replaces its row."""
+    from ..operators.runs import ModelRuns
+    from ..sources.layers import work_folder
+
+    runs, run = ModelRuns(spark, work_folder(spark, "runs")), d15(spark, d)
+    scored = fe.with_propensity(customer_base(spark, d), PROPENSITY_SCALE).filter("customer % 2 = 0")
+    half = scored.agg(F.count(F.lit(1)).alias("rows_scored"), F.round(F.avg((F.col("band") == "high").cast("double")), 6).alias("high_share"))
+    half = half.select(F.lit("propensity").alias("model"), F.lit("v2").alias("version"), "rows_scored", "high_share", F.lit(0.81).alias("stated_auc"))
+    for number, rows in enumerate((run, half, run)):
+        runs.record(rows, number)
+    return runs.table().select("version", "rows_scored", "high_share")
+
+
 @query("p15_lookback_filter", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY")
 def p15(spark, d):
     o = table(spark, d, "orders")

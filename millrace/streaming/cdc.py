@@ -96,10 +96,10 @@ class VersionedSink:
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], fold: int = 16, order: Sequence[Column] = (), forget: Column | None = None):
-        self.spark, self.path, self.keys, self.fold, self.order, self.forget = spark, path, keys, fold, [*order, F.desc("version")], forget
+        self.spark, self.path, self.keys, self.fold, self.order, self.forget = spark, path, keys, fold, [*order, F.desc("sink_version")], forget
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.path}/changes/version={number}")
+        batch.write.mode("overwrite").parquet(f"{self.path}/changes/sink_version={number}")
         if self.fold and (number + 1) % self.fold == 0:
             self._fold(number)
 
@@ -113,7 +113,7 @@ class VersionedSink:
     def _ranked(self, below: int) -> DataFrame:
         bases = self._bases(below)
         since = bases[-1] if bases else -1
-        rows = self.spark.read.parquet(f"{self.path}/changes").filter((F.col("version") > since) & (F.col("version") <= below))
+        rows = self.spark.read.parquet(f"{self.path}/changes").filter((F.col("sink_version") > since) & (F.col("sink_version") <= below))
         if bases:
             rows = rows.unionByName(self.spark.read.parquet(f"{self.path}/base/{since}"))
         return latest_by(rows, self.keys, self.order)
@@ -121,7 +121,7 @@ class VersionedSink:
     def _fold(self, number: int) -> None:
         rows = self._ranked(number)
         rows = rows if self.forget is None else rows.filter(~F.coalesce(self.forget, F.lit(False)))
-        rows.withColumn("version", F.col("version").cast("int")).write.mode("overwrite").parquet(f"{self.path}/base/{number}")
+        rows.withColumn("sink_version", F.col("sink_version").cast("int")).write.mode("overwrite").parquet(f"{self.path}/base/{number}")
         self.spark.createDataFrame([(number,)], "base long").write.mode("overwrite").parquet(f"{self.path}/notes/of={number}")
         bases = self._bases(number)  # those before the new one
         for old in bases[:-1]:
@@ -129,11 +129,11 @@ class VersionedSink:
             remove(self.spark, f"{self.path}/base/{old}")
         if bases:
             for gone in range(bases[-2] + 1 if len(bases) > 1 else 0, bases[-1] + 1):
-                remove(self.spark, f"{self.path}/changes/version={gone}")
+                remove(self.spark, f"{self.path}/changes/sink_version={gone}")
 
     def table(self) -> DataFrame:
         rows = self._ranked(1 << 62)
-        return (rows if self.forget is None else rows.filter(~F.coalesce(self.forget, F.lit(False)))).drop("version")
+        return (rows if self.forget is None else rows.filter(~F.coalesce(self.forget, F.lit(False)))).drop("sink_version")
 
 
 class UnresolvedSink(VersionedSink):

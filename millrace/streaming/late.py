@@ -25,23 +25,23 @@ class LateSplit:
         """In microseconds, for batch number; none before the first mark."""
         if not exists(self.spark, f"{self.path}/marks"):
             return None
-        marks = self.spark.read.schema("latest long, version int").parquet(f"{self.path}/marks")
-        latest = marks.filter(F.col("version") < number).agg(F.max("latest")).first()[0]
+        marks = self.spark.read.schema("latest long, sink_version int").parquet(f"{self.path}/marks")
+        latest = marks.filter(F.col("sink_version") < number).agg(F.max("latest")).first()[0]
         return None if latest is None else latest - self.delay * 1_000_000
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         mark = self.watermark(number)
         us = F.unix_micros(F.col(self.ts).cast("timestamp"))
         late = F.lit(False) if mark is None else F.coalesce(us < mark, F.lit(False))
-        rows = batch.withColumn("late", late)
+        rows = batch.withColumn("is_late", late)
         # one write, one pass over the batch
-        rows.write.mode("overwrite").partitionBy("late").parquet(f"{self.path}/rows/version={number}")
-        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/rows/version={number}")
-        written.agg(F.max(us).alias("latest")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/marks/version={number}")
+        rows.write.mode("overwrite").partitionBy("is_late").parquet(f"{self.path}/rows/sink_version={number}")
+        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/rows/sink_version={number}")
+        written.agg(F.max(us).alias("latest")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/marks/sink_version={number}")
 
     def _part(self, late: bool) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.path}/rows")
-        return rows.filter(F.col("late") == F.lit(late)).drop("late", "version")
+        return rows.filter(F.col("is_late") == F.lit(late)).drop("is_late", "sink_version")
 
     def on_time(self) -> DataFrame:
         return self._part(False)

@@ -377,7 +377,7 @@ def test_bands(spark):
 def test_transaction_without_product_keeps_its_label(spark):
     txns = spark.createDataFrame([(1, "A", 1.0, 0), (2, None, 5.0, 1), (3, None, 5.0, 0)], "txn_id long, product string, amount double, label int")
     out = an.transaction_anomalies(txns, an.amount_statistics(txns)).collect()
-    assert [(r.txn_id, r.product, r.anomaly_type) for r in out] == [(2, None, "fraud_label")]
+    assert [(r.txn_id, r.product, r.anomaly_type) for r in out] == [(2, None, "synthetic_fraud_label")]
 
 
 def test_as_of_keeps_facts_without_a_version(spark):

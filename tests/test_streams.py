@@ -68,7 +68,7 @@ def test_folding_changes_no_result_and_bounds_versions(spark, tmp_path, fold):
         for _ in range(2 if n in (2, 5) else 1):  # replayed after its fold
             sink(spark.createDataFrame(rows, "k string, v long"), n)
         assert dict(map(tuple, sink.table().select("k", "v").collect())) == want
-    left = spark.read.parquet(str(tmp_path / "t" / "changes")).select("version").distinct().count()
+    left = spark.read.parquet(str(tmp_path / "t" / "changes")).select("sink_version").distinct().count()
     assert left == 8 if not fold else left <= 2 * fold + 2
 
 
@@ -76,7 +76,7 @@ def test_half_written_base_is_not_read(spark, tmp_path):
     sink = cdc.VersionedSink(spark, str(tmp_path / "t"), ["k"], 2)
     for n in range(3):
         sink(spark.createDataFrame([("a", n)], "k string, v long"), n)
-    spark.createDataFrame([("a", 99, 2)], "k string, v long, version int").write.parquet(str(tmp_path / "t" / "base" / "2"))
+    spark.createDataFrame([("a", 99, 2)], "k string, v long, sink_version int").write.parquet(str(tmp_path / "t" / "base" / "2"))
     assert [r.v for r in sink.table().collect()] == [2]
 
 
@@ -103,7 +103,7 @@ def test_offset_source_reads_each_event_once_over_restarts(spark, tmp_path):
         run()  # nothing new
     got = sink.table().collect()
     assert sorted(r.offset for r in got) == list(range(300)) and sorted(r.k for r in got) == list(range(300))
-    batches = spark.read.parquet(str(tmp_path / "t" / "changes")).groupBy("version").count().collect()
+    batches = spark.read.parquet(str(tmp_path / "t" / "changes")).groupBy("sink_version").count().collect()
     assert sorted(r["count"] for r in batches if r["count"]) == [100, 100, 100]
     assert segments.log(spark, log, stream=False).count() == 300
 
