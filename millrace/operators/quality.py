@@ -26,11 +26,23 @@ def rejects(rows: DataFrame, source: str, entity: Column, issue: Column, event_t
     return out.withColumn("reject_id", F.sha2(F.concat_ws("|", "source", F.coalesce("entity_id", F.lit("")), "issue_type"), 256))
 
 
-def issues(rejected: DataFrame, layer: str) -> DataFrame:
-    """Repeated issues of an entity collapse to one record with a stable id."""
+def issues(rejected: DataFrame, layer: str, severities: Mapping[str, str] | None = None) -> DataFrame:
+    """Repeated issues of an entity collapse to one record with a stable id; with severities (by issue type, low if none is given), also severity and the time last seen."""
     keys = ["source", "entity_id", "issue_type"]
-    out = rejected.groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
-    return out.withColumn("issue_id", stable_id(F.lit(layer), F.coalesce("entity_id", F.lit("")), F.col("issue_type")))
+    seen = [] if severities is None else [F.max("event_ts").alias("last_ts")]
+    out = rejected.groupBy(*keys).agg(F.count(F.lit(1)).alias("times"), *seen)
+    out = out.withColumn("issue_id", stable_id(F.lit(layer), F.coalesce("entity_id", F.lit("")), F.col("issue_type")))
+    if severities is None:
+        return out
+    level = F.lit("low")
+    for kind, severity in severities.items():
+        level = F.when(F.col("issue_type") == kind, severity).otherwise(level)
+    return out.withColumn("severity", level)
+
+
+def severity_rank(severity: Column) -> Column:
+    """0 for high, 1 for medium, 2 for others: sorting the words would put low before medium."""
+    return F.when(severity == "high", 0).when(severity == "medium", 1).otherwise(2)
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

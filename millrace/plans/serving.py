@@ -11,10 +11,10 @@ from ..operators import quality as dq
 from ..operators import retrieval as rt
 from ..operators import vectors as vec
 from ..sources import layers as ly
-from .base import query, table
+from .base import ORACLE_SQL, query, table
 from .contracts import everything, outbox
-from .customers import BANDED, DRIFT, FEATURES, d05, LAPSE, PROPENSITY_SCALE, customer_base, eligible, policies, ELIGIBLE
-from .layers import REJECTS, checked_orders
+from .customers import BANDED, DRIFT, FEATURES, d05, d15_runs, LAPSE, PROPENSITY_SCALE, customer_base, eligible, policies, ELIGIBLE
+from .layers import REJECTS, SHA, UUID5, checked_orders
 from .matching import short_scores, SHORT
 from .streams import SERVED, t07
 
@@ -75,11 +75,33 @@ def v_issues(spark, d):
     return rows.groupBy("issue_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
 
 
-@query("v_drift", f"SELECT * FROM ({DRIFT}) ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, feature")
+SEVERITIES = {"invalid_amount": "high", "invalid_status": "medium"}
+LEVEL = "CASE issue_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEVERITIES.items()) + " ELSE 'low' END"
+RANKED = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
+
+
+@query(
+    "v_issue_records",
+    f"SELECT {UUID5} AS issue_id, source, entity_id, issue_type, {LEVEL} AS severity, times, last_ts FROM (SELECT *, {SHA.format("'silver|' || entity_id || '|' || issue_type")} AS h FROM "
+    f"(SELECT source, entity_id, issue_type, count(*) AS times, max(event_ts) AS last_ts FROM ({REJECTS}) WHERE issue_type IS NOT NULL GROUP BY ALL)) ORDER BY {RANKED}, last_ts DESC, entity_id, issue_type",
+)
+def v_issue_records(spark, d):
+    """The issue records themselves: the worst first, of those the latest."""
+    rows = dq.issues(dq.rejects(checked_orders(spark, d), "orders", F.col("o_custkey"), F.col("issue_type"), F.col("o_orderdate")), "silver", SEVERITIES)
+    rows = rows.orderBy(dq.severity_rank(F.col("severity")), F.desc("last_ts"), "entity_id", "issue_type")
+    return rows.select("issue_id", "source", "entity_id", "issue_type", "severity", "times", "last_ts")
+
+
+@query("v_drift", f"SELECT * FROM ({DRIFT}) ORDER BY {RANKED}, drift DESC, feature")
 def v_drift(spark, d):
-    """Features with their baseline, drift and severity, the worst first."""
-    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    return d05(spark, d).orderBy(rank, "feature")
+    """Features with their baseline, drift and severity: the worst first, of those the furthest from its baseline."""
+    return d05(spark, d).orderBy(dq.severity_rank(F.col("severity")), F.desc("drift"), "feature")
+
+
+@query("v_model_runs", ORACLE_SQL["d15_model_runs"])
+def v_runs(spark, d):
+    """The runs table, the last recorded first."""
+    return d15_runs(spark, d)
 
 
 @query("v_check_results")
