@@ -122,7 +122,7 @@ w AS (SELECT *, count(*) OVER b AS n_before, avg(oee) OVER b AS om, stddev_pop(o
 l AS (SELECT * FROM w WHERE rn = 1 AND n_before >= 3)"""
 
 
-MOMENTS = f"{OEE}{LATEST} SELECT machine_number, shift_date, n_before, round(om, 6) AS oee_mean, round(os, 6) AS oee_std, round(dm, 3) AS downtime_mean, round(ds, 3) AS downtime_std FROM l"
+MOMENTS = f"{OEE}{LATEST} SELECT machine_number, shift_date, n_before, round(om + 1e-9, 6) AS oee_mean, round(os + 1e-9, 6) AS oee_std, round(dm + 1e-9, 3) AS downtime_mean, round(ds + 1e-9, 3) AS downtime_std FROM l"
 
 
 def grown_baselines(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +139,9 @@ def grown_baselines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounded_moments(rows: DataFrame) -> DataFrame:
-    means = [F.round("oee_mean", 6).alias("oee_mean"), F.round("oee_std", 6).alias("oee_std"), F.round("downtime_minutes_mean", 3).alias("downtime_mean"), F.round("downtime_minutes_std", 3).alias("downtime_std")]
+    """Rounded a little above: exact ties would round apart with the order in which moments are added."""
+    up = lambda c, digits, name: F.round(F.col(c) + 1e-9, digits).alias(name)
+    means = [up("oee_mean", 6, "oee_mean"), up("oee_std", 6, "oee_std"), up("downtime_minutes_mean", 3, "downtime_mean"), up("downtime_minutes_std", 3, "downtime_std")]
     return rows.select("machine_number", "shift_date", "n_before", *means)
 
 
