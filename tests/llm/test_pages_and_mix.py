@@ -45,6 +45,19 @@ def test_held_out_layouts(forest):
     assert hit / total > 0.99 and exact / 150 > 0.95
 
 
+def test_forest_equals_the_model(spark):
+    """The arrays give what the fitted model itself predicts."""
+    import numpy as np
+    from pyspark.ml.classification import GBTClassifier
+
+    rows = html_extract.training_rows(spark.read.parquet(f"{SF}/pages.parquet").limit(5)).limit(3000).cache()
+    model = GBTClassifier(maxIter=5, maxDepth=html_extract.TREE_DEPTH, stepSize=0.3, seed=html_extract.SEED).fit(rows)
+    said = model.transform(rows).select("features", "rawPrediction").collect()
+    margins = html_extract.Forest(model).margin(np.array([r.features.toArray() for r in said]))
+    assert len(said) == 3000 and np.abs(margins).max() > 0.5
+    assert np.allclose(margins, [r.rawPrediction[1] for r in said], rtol=0, atol=1e-12)
+
+
 P = "Some people walked over the hill in the morning, and they found a river. "
 #: Pages written by hand, other than the made layouts, with their main texts.
 BY_HAND = [
