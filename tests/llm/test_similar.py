@@ -82,3 +82,12 @@ def test_confirmed_takes_the_limit_itself():
 
 def test_similar_documents_of_nothing(spark):
     assert similar.similar_documents(empty(spark)).count() == 0
+
+
+def test_texts_of_one_id_belong_together(spark):
+    """Ids with several texts, whose copies have other ids and whose smallest ids meet: one document, however the texts are named."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = text(2) + " more"
+    rows = [(5, text(1)), (7, text(1)), (5, text(2)), (3, text(2)), (9, near), (9, near), (4, text(3)), (4, text(4)), (6, text(4).upper()), (8, text(5)), (2, None), (11, "")]
+    got = sorted((r.doc_id, r.component_id) for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(2, 2), (3, 3), (4, 4), (4, 4), (5, 3), (5, 3), (6, 4), (7, 3), (8, 8), (9, 3), (9, 3), (11, 2)]
