@@ -8,20 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
+from ..functions.ranks import cut_values, range_rank
+
 SAMPLE = 100_000
 
 
-def range_bounds(df: DataFrame, columns: Sequence[str], bits: int, accuracy: int = 100_000, sample: int = SAMPLE) -> dict[str, list]:
+def range_bounds(df: DataFrame, columns: Sequence[str], bits: int, sample: int = SAMPLE) -> dict[str, list]:
     """For each column, up to 2 ** bits - 1 values that cut its rows into ranges of about equal size.
 
-    Numbers, dates and times by approximate percentiles over all rows, in one pass; other types by the sample rows of smallest hash.
+    Numbers, dates and times by exact percentiles over all rows; other types by the sample rows of smallest hash.
     """
-    shares = F.array(*[F.lit(i / (1 << bits)) for i in range(1, 1 << bits)])
+    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
     ordered = [c for c in columns if isinstance(df.schema[c].dataType, (NumericType, DateType, TimestampType, TimestampNTZType))]
-    found: dict[str, list] = {}
-    if ordered:
-        row = df.agg(*[F.percentile_approx(c, shares, accuracy).alias(c) for c in ordered]).first()
-        found |= {c: sorted(set(row[c] or [])) for c in ordered}
+    found: dict[str, list] = {c: cut_values(df, c, shares) for c in ordered}
     for c in columns:
         if c not in found:
             rows = df.filter(F.col(c).isNotNull()).select(c).orderBy(F.xxhash64(*df.columns)).limit(sample)
@@ -30,18 +29,6 @@ def range_bounds(df: DataFrame, columns: Sequence[str], bits: int, accuracy: int
     return found
 
 
-def range_rank(column: Column, bounds: Sequence) -> Column:
-    """How many of the sorted bounds are below the value, as nested comparisons: log2 of them a row. Nulls have rank 0."""
-
-    def below(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column > F.lit(bounds[mid]), below(mid + 1, hi)).otherwise(below(lo, mid))
-
-    return below(0, len(bounds))
-
-
 def curve_key(ranks: Sequence[Column], bits: int) -> Column:
     """The bits of the ranks in turn, the highest first: near keys are near in every column."""
     if bits * len(ranks) > 63:
