@@ -135,6 +135,25 @@ def test_representatives_keep_every_link(spark):
     assert idy.candidate_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["WEIGHTS", "SHORT_WEIGHTS"])
+def test_scored_pairs_lose_none(spark, name):
+    """Only pairs that can reach the threshold are made, and all that do are there."""
+    import random
+
+    r, weights = random.Random(6), getattr(idy, name)
+    names = ["Al Bo Cantwell", "Al Bo Cantwel", "Al Bo Cantwall Jr", "Cy Dee"]
+    people = [(i, r.choice([None, None, "k1", "k2"]), r.choice(names), r.choice(["1", "1", "2", ""]), r.choice(["a@b", "a@b", ""]), r.choice(["x", "y", ""]), r.choice(["9", "8", ""])) for i in range(150)]
+    df = spark.createDataFrame(people, PEOPLE)
+    want = idy.score(idy.candidate_pairs(df), idy.name_ratio(F.col("l.name"), F.col("r.name")), weights)
+    got = idy.scored_pairs(df, idy.name_ratio, weights)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 50
+
+
+def test_blocks_follow_the_weights():
+    assert idy.blocks(idy.SHORT_WEIGHTS, idy.REVIEW_MIN) == []
+    assert idy.blocks(idy.WEIGHTS, idy.REVIEW_MIN) == [("phone", "email", "dob"), ("phone", "email", "postal")]
+
+
 def test_known_identity_candidates(spark):
     rows = [(1, "U1", "Mei Ling", "p", "e", "d", "z"), (2, None, "Mei-Ling", "p", "e", "d", "z"), (3, None, "", "", "", "", "")]
     out = idy.score(idy.candidate_pairs(spark.createDataFrame(rows, PEOPLE)), idy.name_ratio(F.col("l.name"), F.col("r.name"))).collect()
