@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import _unit
+from .retrieval import SLICE, _best, _unit
 
 #: Rows that cells are fitted on, and queries among them by which probes are chosen.
 SAMPLE, JUDGES = 20_000, 500
-#: Vectors of a piece of a cell, queries that are sent to it together, and queries scored at once.
-PIECE, BLOCK, SLICE = 16_384, 65_536, 1024
+#: Vectors of a piece of a cell, and queries that are sent to it together.
+PIECE, BLOCK = 16_384, 65_536
 
 
 @dataclass
@@ -64,17 +64,6 @@ def fit_cells(vectors: DataFrame, key: str, vector: str, cells: int | None = Non
     return found
 
 
-def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k largest values of each row, ties by id."""
-    least = np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else -np.inf
-    row, column = np.nonzero(s >= least)
-    order = np.lexsort((ids[column], -s[row, column], row))
-    row, column = row[order], column[order]
-    first = np.searchsorted(row, np.arange(len(s)))
-    kept = np.arange(len(row)) - first[row] < k
-    return row[kept], column[kept]
-
-
 def _placed(cells: Cells, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
