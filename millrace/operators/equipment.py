@@ -75,10 +75,14 @@ def latest_against_baseline(daily: DataFrame, least_rows: int = 3) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(last)).filter((F.col("_n") == 1) & (F.col("n_before") >= least_rows)).drop("_n")
 
 
+#: A z score within so much of its limit is at the limit: moments depend on the order of their rows in the last bits.
+TIE = 1e-12
+
+
 def alerts(latest: DataFrame, oee_z: float = -2.0, downtime_z: float = 2.0) -> DataFrame:
-    """At most two alerts a machine; a deviation of 0 counts as 0.01 and 1.0."""
+    """At most two alerts a machine, for z scores beyond the limits; a deviation of 0 counts as 0.01 and 1.0."""
     z = lambda c, least: (F.col(c) - F.col(f"{c}_mean")) / F.when(F.col(f"{c}_std") == 0, least).otherwise(F.col(f"{c}_std"))
     row = lambda metric, c, score, level: F.struct(F.lit(metric).alias("metric"), F.col(c).alias("value"), F.round(score, 2).alias("z"), F.lit(level).alias("severity"))
     o, t = z("oee", 0.01), z("downtime_minutes", 1.0)
-    found = F.array_compact(F.array(F.when(o < oee_z, row("oee", "oee", o, "high")), F.when(t > downtime_z, row("downtime_minutes", "downtime_minutes", t, "medium"))))
+    found = F.array_compact(F.array(F.when(o < oee_z - TIE, row("oee", "oee", o, "high")), F.when(t > downtime_z + TIE, row("downtime_minutes", "downtime_minutes", t, "medium"))))
     return latest.select("site_code", "machine_number", "shift_date", F.inline(found))

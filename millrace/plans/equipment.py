@@ -156,12 +156,16 @@ def w01_grown(spark, d):
     return rounded_moments(grown_baselines(spark, d))
 
 
-@query("n03_grown_alerts", f"{OEE}{LATEST} SELECT machine_number, shift_date, 'oee' AS metric, 'high' AS severity FROM l WHERE (oee - om) / CASE WHEN os = 0 THEN 0.01 ELSE os END < -0.5 UNION ALL SELECT machine_number, shift_date, 'downtime_minutes', 'medium' FROM l WHERE (downtime_minutes - dm) / CASE WHEN ds = 0 THEN 1.0 ELSE ds END > 0.5")
+#: A score that is the limit itself is not beyond it, whatever the last bits of the moments.
+ALERTS = f"{OEE}{LATEST} SELECT machine_number, shift_date, 'oee' AS metric, 'high' AS severity FROM l WHERE (oee - om) / CASE WHEN os = 0 THEN 0.01 ELSE os END < -0.5 - {eq.TIE} UNION ALL SELECT machine_number, shift_date, 'downtime_minutes', 'medium' FROM l WHERE (downtime_minutes - dm) / CASE WHEN ds = 0 THEN 1.0 ELSE ds END > 0.5 + {eq.TIE}"
+
+
+@query("n03_grown_alerts", ALERTS)
 def n03_grown(spark, d):
     return eq.alerts(grown_baselines(spark, d), -0.5, 0.5).select("machine_number", "shift_date", "metric", "severity")
 
 
-@query("n03_equipment_alerts", f"{OEE}{LATEST} SELECT machine_number, shift_date, 'oee' AS metric, 'high' AS severity FROM l WHERE (oee - om) / CASE WHEN os = 0 THEN 0.01 ELSE os END < -0.5 UNION ALL SELECT machine_number, shift_date, 'downtime_minutes', 'medium' FROM l WHERE (downtime_minutes - dm) / CASE WHEN ds = 0 THEN 1.0 ELSE ds END > 0.5")
+@query("n03_equipment_alerts", ALERTS)
 def n03(spark, d):
     """At half a deviation, as the supplied data have few outliers."""
     return eq.alerts(eq.latest_against_baseline(oee(spark, d)), -0.5, 0.5).select("machine_number", "shift_date", "metric", "severity")

@@ -154,6 +154,15 @@ def test_blocks_follow_the_weights():
     assert idy.blocks(idy.WEIGHTS, idy.REVIEW_MIN) == [("phone", "email", "dob"), ("phone", "email", "postal")]
 
 
+def test_a_score_at_its_limit_is_no_alert(spark):
+    """The last bits of a deviation don't decide: 0.3 / 0.6 is the limit itself, however it is added up."""
+    columns = "site_code string, machine_number string, shift_date string, oee double, oee_mean double, oee_std double, downtime_minutes double, downtime_minutes_mean double, downtime_minutes_std double"
+    at = [("s", f"m{i}", "d", 0.2, 0.5, 0.6 - e, 20.3, 20.0, 0.6 - e) for i, e in enumerate((0.0, 1e-15, -1e-15))]
+    beyond = [("s", "far", "d", 0.2, 0.5, 0.6 - 1e-9, 20.3, 20.0, 0.6 - 1e-9)]
+    got = [(r.machine_number, r.metric) for r in eq.alerts(spark.createDataFrame(at + beyond, columns), -0.5, 0.5).collect()]
+    assert got == [("far", "oee"), ("far", "downtime_minutes")]
+
+
 def test_known_identity_candidates(spark):
     rows = [(1, "U1", "Mei Ling", "p", "e", "d", "z"), (2, None, "Mei-Ling", "p", "e", "d", "z"), (3, None, "", "", "", "", "")]
     out = idy.score(idy.candidate_pairs(spark.createDataFrame(rows, PEOPLE)), idy.name_ratio(F.col("l.name"), F.col("r.name"))).collect()
