@@ -28,6 +28,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays in which five-word shingles link at a similarity of 0.8 or more: the one with the smallest id.
 
+    SimHash fingerprints within 4 bits and bands of least hashes find the candidates, whole shingle sets confirm them.
     Null and empty texts are one group. Of rows with one id one stays; rows without an id all stay. An empty table stays empty;
     columns of any name pass through.
     """

@@ -226,7 +226,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups_of: Callable[..., DataFrame] = similar_documents) -> DataFrame:
+def fingerprint_candidates(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, least): pairs of nodes that join all nodes whose fingerprints are within the radius. texts: doc_id and text; nodes: doc_id and its node."""
+    prints = staged(fingerprints(texts).join(nodes, "doc_id").select("node", "fp").distinct(), "node-fingerprints")
+    of_print = staged(prints.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    copies = prints.join(of_print, "fp").select("node", "least")
+    near = near_links(of_print.select("fp"))
+    near = near.join(of_print.select(F.col("fp").alias("a"), F.col("least").alias("node")), "a").join(of_print.select(F.col("fp").alias("b"), "least"), "b").select("node", "least")
+    return copies.unionByName(near).filter("node <> least")
+
+
+def confirmed_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id: fingerprints within the radius are candidates, as are shared bands, which reach copies with more edits; shingle sets confirm each link (see similar_documents)."""
+    return similar_documents(docs, id_col, text_col, more=fingerprint_candidates)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups_of: Callable[..., DataFrame] = confirmed_near_duplicates) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id, with its own columns.
 
     groups_of(docs, id_col, text_col) says what a group is: doc_id and component_id of each document.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -106,9 +106,10 @@ def _confirmed(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[k] for _, k in found]}, dtype="int64")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id and component_id, the smallest id among all documents that links reach; a link is a Jaccard similarity of 0.8 or more of five-word shingles.
 
+    Bands of minima find candidates, and so does more, if given: of texts (doc_id, text) and nodes (doc_id, node) it makes pairs of nodes (node, least). Whole sets confirm all.
     Texts with the same words are one document. A null or empty text has no words, so that it is linked to its like only.
     Rows without an id take no part. Rows with the same id are one document, whatever their texts, and are returned as often. No rows give no rows.
     """
@@ -121,6 +122,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = named.filter("bands is not null").select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").drop("most")
     links = keys.join(staged(shared, "bands"), "key").filter("node <> least").select("node", "least").distinct()
+    if more is not None:
+        links = links.unionByName(more(rows, named.select("doc_id", "node")))
     groups = staged(components(staged(links, "candidates"), "node", "least"), "candidate-groups")
 
     # only documents with a candidate travel, each with its set once, however many bands it shares

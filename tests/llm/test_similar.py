@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from millrace.llm import similar
+from millrace.llm import similar, simhash
 from tests.oracle import SF
 
 from .data import awkward, empty, words
@@ -91,3 +91,17 @@ def test_texts_of_one_id_belong_together(spark):
     rows = [(5, text(1)), (7, text(1)), (5, text(2)), (3, text(2)), (9, near), (9, near), (4, text(3)), (4, text(4)), (6, text(4).upper()), (8, text(5)), (2, None), (11, "")]
     got = sorted((r.doc_id, r.component_id) for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(2, 2), (3, 3), (4, 4), (4, 4), (5, 3), (5, 3), (6, 4), (7, 3), (8, 8), (9, 3), (9, 3), (11, 2)]
+
+
+def test_near_stage_goes_by_fingerprints(spark, monkeypatch):
+    """Without bands, copies whose fingerprints are within 4 bits are still found, and only confirmed ones go."""
+    monkeypatch.setattr(similar, "bands", lambda hashes: [])
+    rows = _edited()
+    docs = spark.createDataFrame(rows + [(500, rows[0][1].upper() + "  "), (501, ""), (502, None)], "doc_id long, text string")
+    prints = {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(docs).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()}
+    sets = {i: _set(t) for i, t in rows}
+    alike = lambda i, k: bin(prints[i] ^ prints[k]).count("1") <= 4 and 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k])
+    near = {i for i in sets for k in sets if k < i and alike(i, k)}
+    assert near and not near & kept and {0, 501} <= kept and not {500, 502} & kept
+    assert kept >= {i for i, _ in rows if i % 10 == 0}
