@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, text_or_empty
+from .common import drop_staged, partitions, staged, text_or_empty
 from .components import components
+from .decontaminate import _filter, _passing
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9994 at 0.8.
@@ -52,10 +55,32 @@ def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "words": [d for d, _ in made], "bands": [bands(h) for _, h in made]})
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        made = [shingles(t) for t in batch["text"]]
-        yield pd.DataFrame({"node": batch["doc_id"], "words": [d for d, _ in made], "n": [len(h) for _, h in made], "hashes": [h.tobytes() for _, h in made]})
+def _shared_keys(known: Broadcast):
+    """(node, key) of the bands that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("bands")
+            node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), held.value_lengths().to_numpy(zero_copy_only=False))
+            keys = held.flatten().to_numpy(zero_copy_only=False)
+            at = _passing(known.value, keys.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(node[at], pa.int64()), pa.array(keys[at], pa.int64())], names=["node", "key"])
+
+    return run
+
+
+def _sets(known: Broadcast):
+    """Shingle sets of the documents whose token the filter lets through; the other texts stay where they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.iloc[_passing(known.value, batch["token"].to_numpy(dtype=np.int64).view(np.uint64))]
+            if not len(batch):
+                continue
+            made = [shingles(t) for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["doc_id"].to_numpy(), "words": [d for d, _ in made], "n": [len(h) for _, h in made], "hashes": [h.tobytes() for _, h in made]})
+
+    return run
 
 
 def _find(parent: list[int], i: int) -> int:
@@ -118,19 +143,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # texts with the same words go on as one node, named by its smallest id: a short key for the many rows of bands
     nodes = staged(prints.groupBy("words").agg(F.min("doc_id").alias("node")), "banded-nodes")
     named = prints.join(nodes, "words").select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"))
-    named = staged(named, "named")
-    keys = named.filter("bands is not null").select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").drop("most")
-    links = keys.join(staged(shared, "bands"), "key").filter("node <> least").select("node", "least").distinct()
+    with_bands = staged(named, "banded-names")
+    named = staged(with_bands.select("doc_id", "node"), "named")
+    drop_staged(prints, nodes)
+    banded = with_bands.filter("bands is not null").select("node", "bands")
+    shared = banded.select("node", F.explode("bands").alias("key")).groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    shared = staged(shared.filter("least <> most").drop("most"), "bands")
+    # most bands are no one else's: they travel once, to be counted, and are left behind here; the join refuses what passes in error
+    tokens = shared.select(F.col("key").alias("token"))
+    keys = banded.mapInArrow(_shared_keys(_filter(tokens, tokens.count())), "node long, key long")
+    links = staged(keys.join(shared, "key").filter("node <> least").select("node", "least").distinct(), "band-candidates")
+    drop_staged(with_bands, shared)
     if more is not None:
-        links = links.unionByName(more(rows, named.select("doc_id", "node")))
-    groups = staged(components(staged(links, "candidates"), "node", "least"), "candidate-groups")
-
-    # only documents with a candidate travel, each with its set once, however many bands it shares
-    # grows with the documents: merged at any size, so that small inputs show what large ones cost
-    texts = rows.join(groups.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    sets = texts.mapInPandas(_sets, "node long, words string, n long, hashes binary").dropDuplicates(["node", "words"]).join(groups, "node")
-    sets = staged(sets, "shingle-sets")
+        links = staged(links.unionByName(more(rows, named)), "candidates")
+    groups = staged(components(links, "node", "least"), "candidate-groups")
+
+    # only sets of documents with a candidate travel, each once, however many bands it shares, and no texts
+    tokens = groups.select(F.xxhash64("node").alias("token"))
+    texts = rows.select("doc_id", "text", F.xxhash64("doc_id").alias("token"))
+    sets = texts.mapInPandas(_sets(_filter(tokens, tokens.count())), "node long, words string, n long, hashes binary")
+    sets = staged(sets.dropDuplicates(["node", "words"]).join(groups, "node"), "shingle-sets")
     chunks = sets.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
     cells = sets.join(staged(chunks, "chunks"), "root").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     cells = cells.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -141,6 +173,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # rows with one id are one document, so that their texts belong together
     same_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("doc_id", "a")
     same_id = named.join(staged(same_id, "repeated-ids"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
-    found = staged(components(staged(links.unionByName(same_id), "confirmed"), "a", "b"), "similar")
+    confirmed_links = staged(links.unionByName(same_id), "confirmed")
+    drop_staged(sets)
+    found = staged(components(confirmed_links, "a", "b"), "similar")
     # the smallest node of a component is the smallest id of all its texts
     return named.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))

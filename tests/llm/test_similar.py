@@ -1,5 +1,6 @@
 """Near duplicates of the pipeline against all pairs by brute force."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -7,7 +8,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from millrace.llm import similar, simhash
+from millrace.llm import decontaminate, similar, simhash
+from millrace.llm.common import drop_staged, shared_folder, staged
 from tests.oracle import SF
 
 from .data import awkward, empty, words
@@ -105,3 +107,36 @@ def test_near_stage_goes_by_fingerprints(spark, monkeypatch):
     near = {i for i in sets for k in sets if k < i and alike(i, k)}
     assert near and not near & kept and {0, 501} <= kept and not {500, 502} & kept
     assert kept >= {i for i, _ in rows if i % 10 == 0}
+
+
+def test_filters_that_let_all_pass_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 3)
+    got = sorted((r.doc_id, r.component_id) for r in similar.similar_documents(spark.createDataFrame(_edited(), "doc_id long, text string")).collect())
+    assert got == _groups(_edited())
+
+
+def test_large_tables_go_when_they_are_done(spark):
+    """Bands and shingle sets are deleted once nothing reads them; no join or shuffle carries whole texts."""
+    folder = shared_folder(spark).removeprefix("file://")
+    before, plans, write = set(os.listdir(folder)), [], similar.staged
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(similar, "staged", spied)
+        out = similar.similar_documents(spark.createDataFrame(_edited(), "doc_id long, text string"))
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before}
+    assert "named" in left and not left & {"banded", "banded-nodes", "banded-names", "shingle-sets"}
+    assert not any("Join LeftSemi" in p for p in plans)
+    assert sorted((r.doc_id, r.component_id) for r in out.collect()) == _groups(_edited())
+
+
+def test_only_staged_tables_are_dropped(spark, tmp_path):
+    own = str(tmp_path / "own")
+    spark.range(3).write.parquet(own)
+    mine, empty_one = staged(spark.range(2), "t"), staged(spark.range(0), "t")
+    folders = [t.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] for t in (mine, empty_one)]
+    drop_staged(spark.read.parquet(own), mine, empty_one)
+    assert spark.read.parquet(own).count() == 3 and not any(os.path.exists(f) for f in folders)
