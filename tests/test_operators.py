@@ -452,3 +452,22 @@ def test_nearest_over_many_cells(spark):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     assert got == {(q, k + 1): int(i) for q in range(0, 60, 5) for k, i in enumerate(np.argsort(-(u[q] @ u.T))[:3])}
     assert rt.nearest(df.filter("id < 0"), asked, "id", "v").count() == 0
+
+
+def test_sums_of_pairs_stay_where_the_chunks_are(spark, tmp_path):
+    """Chunks travel once, by key; no sum by question and chunk does, and postings carry numbers instead of keys."""
+    from millrace.plans import serving
+    from tests.oracle import SF
+
+    chunks, q = serving.chunks(spark, SF), serving.questions(spark, SF)
+    plan = lx.scores(chunks, q, "chunk")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" in plan and "hashpartitioning(query_id" not in plan
+    few = spark.createDataFrame([("c1", "H", "apple pie")], "c string, heading string, body string")
+    assert dict(lx.build(few, "c", str(tmp_path / "i")).table("postings").dtypes)["held"] == "array<bigint>"
+
+
+def test_fallback_reads_no_chunks_without_need(spark):
+    ranked = spark.createDataFrame([(1, "c1", 4.0, 1)], "query_id long, c string, score double, rank int")
+    unread = spark.range(1).select(F.raise_error(F.lit("chunks were read")).cast("string").alias("c"))
+    out = rt.with_fallback(ranked, spark.createDataFrame([(1, "pie")], "query_id long, question string"), unread, "c").collect()
+    assert [tuple(r) for r in out] == [(1, "c1", 4.0, 1)]
