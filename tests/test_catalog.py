@@ -39,6 +39,15 @@ def test_identity_scores_against_plain_version(spark):
     assert want and set(got) == set(want) and all(abs(got[k] - want[k]) < 0.0006 for k in want)
 
 
+def test_identity_scores_have_all_pairs_of_a_key(spark):
+    from millrace.plans import matching
+
+    key = dict(connect().execute(f"SELECT seq, unified_key FROM ({matching.PEOPLE}) WHERE unified_key IS NOT NULL").fetchall())
+    rows = catalog.QUERIES["d09_identity_scores"](spark, SF).collect()
+    got = {(r.l_seq, r.r_seq) for r in rows if r.action == "deterministic_merge_confirmed"}
+    assert got == {(a, b) for a in key for b in key if a < b and key[a] == key[b]}
+
+
 def test_cluster_labels_follow_clusters(spark):
     """Three labels at most, one for each cluster, in order of the clusters' mean spend; ranks count the labels."""
     cluster = {r.customer: r.cluster for r in catalog.QUERIES["m01_fixed_kmeans"](spark, SF).collect()}

@@ -149,6 +149,44 @@ def test_scored_pairs_lose_none(spark, name):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 50
 
 
+@pytest.mark.parametrize("piece", [4, 2048])
+def test_links_of_one_key_are_all_there(spark, tmp_path, piece):
+    """Each pair that reaches the threshold is there, between the first rows of its two records; copies are paired with their first. Small pieces change nothing."""
+    import random
+
+    r = random.Random(8)
+    names = ["Al Bo Cantwell", "Al Bo Cantwel", "Al Bo Cantwall Jr", "Cy Dee", "x" * 70]
+    people = [(i, r.choice([None, None, "k1", "k2"]), r.choice(names), r.choice(["1", "1", "2", ""]), r.choice(["a@b", "a@b", ""]), r.choice(["x", "y", ""]), r.choice(["9", "8", ""])) for i in range(150)]
+    df = spark.createDataFrame(people, PEOPLE)
+    first = {}
+    for p in people:
+        first.setdefault(p[1:], p[0])
+    every = idy.score(idy.candidate_pairs(df, expand=True), idy.name_ratio(F.col("l.name"), F.col("r.name"))).collect()
+    at = {p[0]: first[p[1:]] for p in people}
+    want = sorted(tuple(x) for x in every if at[x.r_seq] == x.l_seq or (at[x.l_seq] == x.l_seq and at[x.r_seq] == x.r_seq))
+    got = idy.scored_pairs(df, idy.name_ratio, signature=idy.name_signature, bound=idy.ratio_bound, links=True, piece=piece, path=str(tmp_path / "records")).collect()
+    assert sorted(map(tuple, got)) == want
+    keys = [x for x in got if people[x.l_seq][1] and people[x.l_seq][1] == people[x.r_seq][1]]
+    assert any(x.l_seq != min(p[0] for p in people if p[1] == people[x.l_seq][1]) for x in keys)
+
+
+def test_name_ratio_is_that_of_difflib():
+    import random
+    from difflib import SequenceMatcher
+
+    import pandas as pd
+
+    r = random.Random(9)
+    text = lambda: "".join(r.choice(r.choice(["ab", "ABÄé0\U0001f600", "abc 012"])) for _ in range(r.choice([0, 1, 5, 20, 40, 64, 65, 210])))
+    a = [text() for _ in range(1500)]
+    b = [r.choice([x, x[:-2] + "q", x[3:] + "b", text()]) for x in a]
+    got = idy.name_ratio.func(pd.Series(a), pd.Series(b))
+    assert list(got) == [SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)]
+    signs = [idy.name_signature.func(pd.Series(t)) for t in (a, b)]
+    unlike = [bin((int(x) ^ int(y)) % (1 << 64)).count("1") for x, y in zip(*signs)]
+    assert all(s <= 1 - u / max(1, len(x) + len(y)) + 1e-12 for s, u, x, y in zip(got, unlike, a, b))
+
+
 def test_blocks_follow_the_weights():
     assert idy.blocks(idy.SHORT_WEIGHTS, idy.REVIEW_MIN) == []
     assert idy.blocks(idy.WEIGHTS, idy.REVIEW_MIN) == [("phone", "email", "dob"), ("phone", "email", "postal")]
